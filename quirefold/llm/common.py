@@ -134,21 +134,19 @@ def gram_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return acc
 
 
-def _lut(gap: str) -> np.ndarray:
-    lut = np.arange(256, dtype=np.uint8)
+def _luts(gap: str, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    word, byte = np.ones(256, dtype=bool), np.arange(256, dtype=np.uint8)
     if gap == "space":
-        lut[[0]] = 1  # NUL is part of a word here; 0 marks gaps
-        lut[[32, 9, 10, 11, 12, 13]] = 0
+        word[[32, 9, 10, 11, 12, 13]] = False
     else:
-        lut[:0x30] = lut[0x3A:0x61] = lut[0x7B:0x80] = 0
-        lut[65:91] = np.arange(97, 123)
-    return lut
+        word[:0x30] = word[0x3A:0x61] = word[0x7B:0x80] = False
+    if lower:
+        byte[65:91] = np.arange(97, 123)
+        word[65:91] = True
+    return word, byte
 
 
-_LUTS = {g: _lut(g) for g in ("space", "alnum")}
-_LOWER_SPACE = _LUTS["space"].copy()
-_LOWER_SPACE[65:91] = np.arange(97, 123)
-_LUTS["space_lower"] = _LOWER_SPACE
+_LUTS = {"space": _luts("space", False), "space_lower": _luts("space", True), "alnum": _luts("alnum", True)}
 
 
 class Words:
@@ -159,9 +157,9 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: str):
         """data: UTF-8 bytes of all documents; offsets: where each begins, and the end; gap: space, space_lower or alnum."""
         self.data = data
-        x = _LUTS[gap][data]
-        word = x > 0
-        before = np.zeros(len(x), dtype=bool)
+        is_word, lowered = _LUTS[gap]
+        word, x = is_word[data], lowered[data]
+        before = np.zeros(len(word), dtype=bool)
         before[1:] = word[:-1]
         cuts = offsets[(offsets > 0) & (offsets < len(x))]
         before[cuts] = False
