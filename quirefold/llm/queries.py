@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, tiff
+from . import fm_index, license_scan, mixing, quality, tiff, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +17,37 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_docs(spark, sf_dir))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.contamination_digest(fm_index.find_contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_docs(spark, sf_dir))
+
+
+def op6_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_docs(spark, sf_dir))
 
 
+def op10_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_fm_decontamination": op3_fm_decontamination,
+    "op4_pivotal_mix": op4_pivotal_mix,
+    "op6_quality_rff": op6_quality_rff,
     "op9_tiff_media": op9_tiff_media,
+    "op10_toxicity_ordinal": op10_toxicity_ordinal,
 }
 
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
