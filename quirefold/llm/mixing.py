@@ -81,13 +81,19 @@ def round_group(size: np.ndarray, p: np.ndarray, ids: np.ndarray, last: bool, se
         open_ = [j for j in (held, i) if 0.0 < out[j] < 1.0]
         held = open_[0] if open_ else -1
     if last and held >= 0:
-        out[held] = float(u[held] < out[held])
+        left = float(out[held])
+        out[held] = float(u[held] < left)
+        over = (float(out[held]) - left) * float(size[held])
+        for j in np.flatnonzero((p > 0) & (p < 1) & (size > 0)):  # what the draw put in or left out, smaller rows give back
+            if j != held and size[j] <= abs(over) and out[j] == (1.0 if over > 0 else 0.0):
+                out[j] = 1.0 - out[j]
+                over -= float(size[j]) * (1 if over > 0 else -1)
     return out
 
 
 def _round_level(rows: DataFrame, last: bool, seed: int) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "p"], na_position="last", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)  # what is left fractional in the end is small
         pdf["p"] = round_group(pdf["size"].to_numpy(), pdf["p"].to_numpy(), pdf["doc_id"].fillna(0).to_numpy().astype(np.int64), last, seed)
         return pdf
 
