@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, license_scan, mixing, quality, tiff, toxicity
+from . import fm_index, license_scan, mixing, quality, substring_dedup, tiff, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_docs(spark, sf_dir))
+
+
 def op3_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination_digest(fm_index.find_contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
@@ -43,6 +47,7 @@ def op10_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_fm_decontamination": op3_fm_decontamination,
     "op4_pivotal_mix": op4_pivotal_mix,
     "op6_quality_rff": op6_quality_rff,
@@ -50,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity_ordinal": op10_toxicity_ordinal,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op2_substring_dedup": substring_dedup.oracle()}
