@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, license_scan, mixing, quality, substring_dedup, tiff, toxicity
+from . import fm_index, jaccard_join, license_scan, mixing, quality, substring_dedup, tiff, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_docs(spark, sf_dir))
+
+
 def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_docs(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fm_decontamination": op3_fm_decontamination,
     "op4_pivotal_mix": op4_pivotal_mix,
     "op6_quality_rff": op6_quality_rff,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_tiff_media": op9_tiff_media,
     "op10_toxicity_ordinal": op10_toxicity_ordinal,
 }
