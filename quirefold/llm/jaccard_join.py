@@ -91,7 +91,7 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
     runs = runs_for(recall)
     size = F.size("sample")
     pick = lambda salt, c: F.filter("sample", lambda t: F.pmod(F.xxhash64(t, salt), F.lit(1 << 20)) * size < F.lit((1 << 20) * c))
-    first = F.flatten(F.array(*[F.transform(pick(F.lit(r), CHOSEN), lambda t, r=r: F.xxhash64(t, F.lit(r), F.lit(0))) for r in range(runs)]))
+    first = F.flatten(F.array(*[F.transform(pick(F.lit(r), CHOSEN), lambda t: F.xxhash64(t, F.lit(r), F.lit(0))) for r in range(runs)]))
     rows = stage(sets.select("rep", F.explode(first).alias("path")), "paths")
     check = sets.select("rep", F.transform(F.slice("sample", 1, CHECK), lambda t: F.shiftright(t, 32).cast("int")).alias("s"))
     small_pairs, edges = None, None

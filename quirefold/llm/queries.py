@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, jaccard_join, license_scan, mixing, quality, substring_dedup, tiff, toxicity
+from . import fm_index, jaccard_join, license_scan, mixing, pii, quality, substring_dedup, tiff, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir))
 
 
+def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(_docs(spark, sf_dir))
+
+
 def op6_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_fm_decontamination": op3_fm_decontamination,
     "op4_pivotal_mix": op4_pivotal_mix,
+    "op5_pii_boosting": op5_pii_boosting,
     "op6_quality_rff": op6_quality_rff,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_tiff_media": op9_tiff_media,
