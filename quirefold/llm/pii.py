@@ -32,10 +32,15 @@ HINTS = {
 }
 # Generators of further candidates, and words that announce a secret, a phone or a card.
 GENERATORS = {
-    "number": r"(?<![A-Za-z0-9])[(+0-9][0-9 ().-]{6,40}[0-9](?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{20,}",
+    "number": r"(?<![A-Za-z0-9])[(+]?[0-9][0-9 ().-]{5,40}[0-9](?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[0-9]{0,40}[A-Za-z_-])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{20,}",
     "address": r"[A-Za-z0-9._%+-]{1,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,40}(?: ?[\[(]dot[\])] ?|\.)[A-Za-z]{2,10}",
 }
+GENERATOR_HINTS = {
+    "number": r"[0-9][0-9 ().-]{5,}[0-9]",
+    "secret": r"[0-9][A-Za-z_-]|[A-Za-z_-][0-9]",
+    "address": r"[\[(]at[\])]",
+}
 SECRET_WORDS = r"(?i)(?:token|key|secret|passw(?:or)?d|pwd)[\"' ]*[=:][\"' ]*$"
 FEATURES = ("secret", "address", "digits_9_up", "digits_12_up", "digits_16_up", "marks", "bracket", "hex_only", "long_32", "mixed_case", "after_equals", "after_quote", "after_letters", "after_phone_word")
 WANTED_PRECISION = 0.95
@@ -111,7 +116,7 @@ def annotate(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     rows = rows.withColumns({f"_b_{k}": c for k, c in base_spans(F.col("_t")).items()})
     rows = rows.withColumn("_base", F.concat(*[F.col(f"_b_{k}") for k in KINDS]))
-    found = [F.transform(find_all(F.col("_t"), p), lambda s: _candidate(F.col("_t"), k, s, F.col("_base"))) for k, p in GENERATORS.items()]
+    found = [F.transform(find_all(F.col("_t"), p, GENERATOR_HINTS[k]), lambda s: _candidate(F.col("_t"), k, s, F.col("_base"))) for k, p in GENERATORS.items()]
     return rows.withColumn("_c", F.concat(*found))
 
 
