@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, jaccard_join, license_scan, mixing, pii, quality, substring_dedup, tiff, toxicity
+from . import fm_index, jaccard_join, katz, license_scan, mixing, pii, quality, substring_dedup, tiff, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_docs(spark, sf_dir))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_docs(spark, sf_dir))
+
+
 def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_docs(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_boosting": op5_pii_boosting,
     "op6_quality_rff": op6_quality_rff,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_katz_scores": op8_katz_scores,
     "op9_tiff_media": op9_tiff_media,
     "op10_toxicity_ordinal": op10_toxicity_ordinal,
 }
