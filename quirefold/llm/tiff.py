@@ -58,7 +58,7 @@ def packbits_decode(data: bytes) -> bytes:
 
 
 def lzw_encode(raw: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early as the format asks."""
+    """Codes of 9 to 12 bits, most significant bit first; the reader, one code behind, widens one code early as the format asks."""
     bits = acc = 0
     out, width, known = bytearray(), 9, {bytes((i,)): i for i in range(256)}
 
@@ -83,13 +83,12 @@ def lzw_encode(raw: bytes) -> bytes:
         if following >= 4094:
             put(256)
             following, width, known = 258, 9, {bytes((i,)): i for i in range(256)}
-        elif following >= (1 << width) - 1:
+        elif following >= 1 << width:
             width += 1
         have = raw[i : i + 1]
     if have:
         put(known[have])
-        following += 1
-        if following >= (1 << width) - 1 and width < 12:
+        if following >= (1 << width) - 1 and width < 12:  # the reader has caught up by one code
             width += 1
     put(257)
     if bits:

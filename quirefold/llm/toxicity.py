@@ -10,25 +10,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_size, stage, text_buffers
+from .common import Words, by_size, mix64, stage, text_buffers, word_hashes
 
 #: The model is fitted on at most about this many labelled rows, chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
-SLOTS = 1 << 18
-LEAST_DOCS = 5
+SLOTS = 1 << 20
+LEAST_DOCS = 3
 GRADES = 3
 EPOCHS = 30
+#: Bytes of a word's beginning that are features too.
+PREFIXES = (5, 6, 7, 8, 9)
 _U = np.uint64
 
 
 def sparse_features(data: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, slot) pairs with counts, sorted; a slot is the hash of a lower-cased word."""
+    """Distinct (document, slot) pairs with counts, sorted; a slot is the hash of a lower-cased word or of a word's beginning."""
     w = Words(data, offsets, "alnum")
-    key, n = np.unique(w.doc_of().astype(np.int64) * slots + (w.hashes % _U(slots)).astype(np.int64), return_counts=True)
+    doc, low = w.doc_of().astype(np.int64), np.where((data >= 65) & (data < 91), data + 32, data)
+    keys = [doc * slots + (w.hashes % _U(slots)).astype(np.int64)]
+    for k in PREFIXES:
+        at = np.flatnonzero(w.ends - w.starts > k)
+        keys.append(doc[at] * slots + (mix64(word_hashes(low, w.starts[at], w.starts[at] + k) + _U(k)) % _U(slots)).astype(np.int64))
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
     return key // slots, key % slots, n
 
 
@@ -48,36 +56,33 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - z[:, None], -30, 30)))
 
 
-def typical_slots(doc: np.ndarray, slot: np.ndarray, toxic: np.ndarray, slots: int) -> np.ndarray:
-    """Slots whose share among toxic rows is far above their share among clean rows."""
-    on = toxic[doc]
-    a, b = np.bincount(slot[on], minlength=slots), np.bincount(slot[~on], minlength=slots)
-    pa_, pb = (a + 0.5) / (toxic.sum() + 1), (b + 0.5) / ((~toxic).sum() + 1)
-    z = np.log(pa_ / pb) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    return np.flatnonzero((a >= LEAST_DOCS) & (pa_ > 4 * pb) & (z > 4))
+def telling(a: np.ndarray, b: np.ndarray, toxic: float, clean: float) -> np.ndarray:
+    """Whether features in a toxic and b clean rows have another share of toxic rows than all rows have (log-likelihood ratio,
+    allowing for the many features tried)."""
+    share = toxic / max(toxic + clean, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g2 = 2 * (np.where(a > 0, a * np.log(a / ((a + b) * share)), 0) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0))
+    tried = (a + b) >= LEAST_DOCS
+    return tried & (g2 >= 2 * np.log(max(2, np.count_nonzero(tried))) + 4)
 
 
-def fit_ordinal(doc: np.ndarray, slot: np.ndarray, count: np.ndarray, toxic: np.ndarray, slots: int = SLOTS, epochs: int = EPOCHS, l2: float = 2e-4) -> OrdinalModel:
-    """Full-batch Adam on the cumulative-link log loss; slots in fewer than LEAST_DOCS rows keep weight 0."""
+def fit_ordinal(doc: np.ndarray, slot: np.ndarray, count: np.ndarray, toxic: np.ndarray, typical: np.ndarray, slots: int = SLOTS, epochs: int = EPOCHS, l2: float = 2e-4) -> OrdinalModel:
+    """Full-batch Adam on the cumulative-link log loss over the telling slots given; typical: flags of slots."""
     n, model = len(toxic), OrdinalModel(slots)
     if not n or not toxic.any() or toxic.all():
         model.theta += (0 if not n or not toxic.any() else -20)
         return model
-    hits = np.zeros(slots, dtype=bool)
-    hits[typical_slots(doc, slot, toxic, slots)] = True
-    n_hits = np.bincount(doc, weights=count * hits[slot], minlength=n)
+    n_hits = np.bincount(doc, weights=count * typical[slot], minlength=n)
     grade = np.where(toxic, 1 + (n_hits >= 3) + (n_hits >= 6), 0)
     y = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
-    known = np.bincount(slot, minlength=slots) >= LEAST_DOCS
-    use = known[slot]
-    d, s, v = doc[use], slot[use], 1 + np.log(count[use])
+    d, s, v = doc, slot, 1 + np.log(count)
     model.theta = np.array([2.0, 4.0, 6.0])
     m1, m2, t1, t2 = np.zeros(slots), np.zeros(slots), np.zeros(GRADES), np.zeros(GRADES)
     for step in range(1, epochs * 10 + 1):
         z = np.bincount(d, weights=model.weight[s] * v, minlength=n)
         p = 1 / (1 + np.exp(np.clip(model.theta[None, :] - z[:, None], -30, 30)))
         r = (p - y) / n
-        g = np.bincount(s, weights=r.sum(axis=1)[d] * v, minlength=slots) + l2 * model.weight * known
+        g = np.bincount(s, weights=r.sum(axis=1)[d] * v, minlength=slots) + l2 * model.weight
         gt = -r.sum(axis=0)
         m1, m2, t1, t2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * t1 + 0.1 * gt, 0.99 * t2 + 0.01 * gt * gt
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
@@ -100,12 +105,34 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -
             packed = pa.ListArray.from_arrays(cut, pa.array((slot << 20 | np.minimum(n, (1 << 20) - 1)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), packed], ["doc_id", "toxic", "f"])
 
-    sample = docs.join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(rows, "doc_id long, toxic int, f array<long>").toArrow()
-    sample = sample.sort_by("doc_id").combine_chunks()
-    lists = sample.column("f").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.int64()))
-    packed = lists.flatten().to_numpy()
-    sizes = np.diff(lists.offsets.to_numpy()) if sample.num_rows else np.empty(0, dtype=int)
-    return fit_ordinal(np.repeat(np.arange(sample.num_rows), sizes), packed >> 20, packed & ((1 << 20) - 1), sample.column("toxic").to_numpy() > 0)
+    sample = docs.join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    sample = stage(sample.mapInArrow(rows, "doc_id long, toxic int, f array<long>"), "toxsample")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
+        for pdf in batches:
+            for f, y in zip(pdf["f"], pdf["toxic"], strict=True):
+                (a if y > 0 else b)[np.asarray(f, dtype=np.int64) >> 20] += 1
+        used = np.flatnonzero(a + b)
+        yield pd.DataFrame({"slot": used, "a": a[used], "b": b[used]})
+
+    size = sample.agg(F.expr("count_if(toxic > 0) AS a"), F.expr("count_if(toxic <= 0) AS b")).first()
+    found = sample.mapInPandas(counted, "slot long, a long, b long").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(f"a + b >= {LEAST_DOCS}").toPandas()  # SLOTS rows at most
+    a, b = found["a"].to_numpy(dtype=float), found["b"].to_numpy(dtype=float)
+    tells = telling(a, b, size["a"], size["b"])
+    known, typical = np.zeros(SLOTS, dtype=bool), np.zeros(SLOTS, dtype=bool)
+    known[found["slot"][tells]] = True
+    typical[found["slot"][tells & (a * size["b"] > b * size["a"])]] = True
+    kept = np.flatnonzero(known)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(f=[x[np.isin(x >> 20, kept)] for x in (np.asarray(f, dtype=np.int64) for f in pdf["f"])])
+
+    rows_ = sample.mapInPandas(told, sample.schema).toPandas().sort_values("doc_id")
+    sizes = rows_["f"].map(len).to_numpy(dtype=int)
+    packed = np.concatenate(rows_["f"].tolist()).astype(np.int64) if len(rows_) else np.empty(0, dtype=np.int64)
+    return fit_ordinal(np.repeat(np.arange(len(rows_)), sizes), packed >> 20, packed & ((1 << 20) - 1), rows_["toxic"].to_numpy() > 0, typical)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
