@@ -303,7 +303,7 @@ def test_pipeline_stages_act(spark):
     classes = {r["doc_id"]: r["class_id"] for r in jaccard_join.near_duplicates(docs).collect()}
     kept = {r["doc_id"] for r in cp.near_duplicate_stage(spark, docs, sf).collect()}
     assert kept == set(classes.values())
-    clean = cp.decontamination_stage(spark, docs, sf)
+    clean = common.stage(cp.decontamination_stage(spark, docs, sf), "clean")
     again = fm_index.find_contamination(clean, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert clean.columns == docs.columns and clean.count() == docs.count() and again.where("size(spans) > 0").count() == 0
-    assert pii.pii_digest(cp.pii_stage(spark, docs, sf)).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
+    assert pii.pii_digest(common.stage(cp.pii_stage(spark, docs, sf), "redacted")).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
