@@ -29,6 +29,7 @@ CHOSEN = 4
 SMALL = 24
 DEPTH = 5
 BLOCK = 1024
+HEAT = 2048
 LOOSE = 0.6
 ABSORB = 0.9
 _U = np.uint64
@@ -93,7 +94,9 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
     pick = lambda salt, c: F.filter("sample", lambda t: F.pmod(F.xxhash64(t, salt), F.lit(1 << 20)) * size < F.lit((1 << 20) * c))
     first = F.flatten(F.array(*[F.transform(pick(F.lit(r), CHOSEN), lambda t: F.xxhash64(t, F.lit(r), F.lit(0))) for r in range(runs)]))
     rows = stage(sets.select("rep", F.explode(first).alias("path")), "paths")
-    check = sets.select("rep", F.transform(F.slice("sample", 1, CHECK), lambda t: F.shiftright(t, 32).cast("int")).alias("s"))
+    halved = lambda xs: F.transform(xs, lambda t: F.shiftright(t, 32).cast("int"))
+    check = sets.select("rep", halved(F.slice("sample", 1, CHECK)).alias("s"))
+    whole = sets.select("rep", halved("sample").alias("s"))
     small_pairs, edges = None, None
     for level in range(depth):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("leader")).where("m > 1")
@@ -104,13 +107,17 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         large = full.where((F.col("m") > small) & (F.col("rep") != F.col("leader")))
         if not large.limit(1).count():
             break
-        led = large.select("leader").distinct().join(sets.select(F.col("rep").alias("leader"), F.col("sample").alias("ls")), "leader")
-        share = F.size(F.array_intersect("sample", "ls")) / F.least(F.size("sample"), F.size("ls"))
-        met = stage(large.join(led, "leader").join(sets.select("rep", "sample"), "rep").select("path", "leader", "rep", "sample", share.alias("share")), "met")
+        # one comparison for a set and leader, however many paths they share; a leader of many sets is copied per HEAT sets
+        heat = F.ceil(F.col("m") / HEAT).cast("int")
+        led = large.groupBy("leader").agg(F.max(heat).alias("copies")).join(whole.select(F.col("rep").alias("leader"), F.col("s").alias("ls")), "leader")
+        led = led.select("leader", "ls", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+        asked = large.groupBy("leader", "rep").agg(F.max(heat).alias("copies")).select("leader", "rep", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"))
+        share = F.size(F.array_intersect("s", "ls")) / F.least(F.size("s"), F.size("ls"))
+        met = stage(asked.join(whole, "rep").join(led, ["leader", "salt"]).select("leader", "rep", share.alias("share")), "met")
         close = met.where(F.col("share") >= (LOOSE if level < depth - 1 else 0.0)).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
         edges = close if edges is None else edges.unionByName(close)
-        rest = met.where(F.col("share") < ABSORB)
-        rows = stage(rest.select("rep", F.explode(F.transform(pick(F.col("path"), 2), lambda t: F.xxhash64(t, F.col("path")))).alias("path")), "paths")
+        rest = large.select("path", "leader", "rep").join(met.where(F.col("share") < ABSORB), ["leader", "rep"]).select("path", "rep")
+        rows = stage(rest.join(sets.select("rep", "sample"), "rep").select("rep", F.explode(F.transform(pick(F.col("path"), 2), lambda t: F.xxhash64(t, F.col("path")))).alias("path")), "paths")
     pairs = small_pairs.distinct()
     with_a = pairs.join(check.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(check.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
@@ -148,7 +155,7 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int = GRAM, threshold
     task holds more than two blocks, and only counts and one spanning link per set leave it.
     """
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = stage(members.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches):
