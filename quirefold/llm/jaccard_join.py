@@ -107,18 +107,21 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         large = full.where((F.col("m") > small) & (F.col("rep") != F.col("leader")))
         if not large.limit(1).count():
             break
-        # one comparison for a set and leader, with the few paths they share as a list; a leader of many sets is copied per HEAT sets
+        # one comparison for a set and leader, with the few paths they share as a list; samples are joined once per set, not
+        # once per comparison; a leader of many sets is copied per HEAT sets
         heat = F.ceil(F.col("m") / HEAT).cast("int")
         led = large.groupBy("leader").agg(F.max(heat).alias("copies")).join(whole.select(F.col("rep").alias("leader"), F.col("s").alias("ls")), "leader")
         led = led.select("leader", "ls", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-        asked = large.groupBy("leader", "rep").agg(F.max(heat).alias("copies"), F.collect_list("path").alias("shared"))
-        asked = asked.select("leader", "rep", "shared", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"))
+        asked = large.repartition("rep").groupBy("leader", "rep").agg(F.max(heat).alias("copies"), F.collect_list("path").alias("shared"))
+        asked = asked.groupBy("rep").agg(F.collect_list(F.struct("leader", "copies", "shared")).alias("asks")).join(whole, "rep")
+        asked = asked.select("rep", "s", F.inline("asks"))
+        asked = asked.select("leader", "rep", "s", "shared", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"))
         share = F.size(F.array_intersect("s", "ls")) / F.least(F.size("s"), F.size("ls"))
-        met = stage(asked.join(whole, "rep").join(led, ["leader", "salt"]).select("leader", "rep", "shared", share.alias("share")), "met")
+        met = stage(asked.join(led, ["leader", "salt"]).select("leader", "rep", "shared", share.alias("share")), "met")
         close = met.where(F.col("share") >= (LOOSE if level < depth - 1 else 0.0)).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
         edges = close if edges is None else edges.unionByName(close)
-        rest = met.where(F.col("share") < ABSORB).select("rep", "shared").join(sets.select("rep", "sample"), "rep")
-        rest = rest.select("rep", "sample", F.explode("shared").alias("path"))
+        rest = met.where(F.col("share") < ABSORB).groupBy("rep").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+        rest = rest.join(sets.select("rep", "sample"), "rep").select("rep", "sample", F.explode("shared").alias("path"))
         rows = stage(rest.select("rep", F.explode(F.transform(pick(F.col("path"), 2), lambda t: F.xxhash64(t, F.col("path")))).alias("path")), "paths")
     pairs = small_pairs.distinct()
     with_a = pairs.join(check.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
