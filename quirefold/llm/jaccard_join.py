@@ -120,9 +120,12 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         met = stage(asked.join(led, ["leader", "salt"]).select("leader", "rep", "shared", share.alias("share")), "met")
         close = met.where(F.col("share") >= (LOOSE if level < depth - 1 else 0.0)).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
         edges = close if edges is None else edges.unionByName(close)
+        if level == depth - 1:  # all that is left is linked with its leader; no paths follow
+            break
         rest = met.where(F.col("share") < ABSORB).groupBy("rep").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-        rest = rest.join(sets.select("rep", "sample"), "rep").select("rep", "sample", F.explode("shared").alias("path"))
-        rows = stage(rest.select("rep", F.explode(F.transform(pick(F.col("path"), 2), lambda t: F.xxhash64(t, F.col("path")))).alias("path")), "paths")
+        walk = F.flatten(F.transform("shared", lambda p: F.transform(pick(p, 2), lambda t: F.xxhash64(t, p))))
+        rest = rest.join(sets.select("rep", "sample"), "rep")
+        rows = stage(rest.select("rep", F.explode(F.array_distinct(walk)).alias("path")), "paths")
     pairs = small_pairs.distinct()
     with_a = pairs.join(check.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(check.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
