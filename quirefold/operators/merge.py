@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +71,29 @@ def joined_text(rows: DataFrame, keys: list[str], order: str, text: str, sep: st
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["t"]), sep).alias("joined"))
 
 
+def text_digests(rows: DataFrame, key: str, order: str, text: str, sep: str) -> DataFrame:
+    """md5 of what joined_text makes of each key. Texts stream through in order, so that no group is held as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, md5, empty = None, None, None, True
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], schema.field(0).type), pa.array([md5.hexdigest()])], [key, "digest"])
+        for b in batches:
+            schema = b.schema
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if md5 is None or k != now:
+                    if md5 is not None:
+                        yield done()
+                    now, md5, empty = k, hashlib.md5(), True
+                if t:
+                    md5.update(t if empty else sep.encode() + t)
+                    empty = False
+        if md5 is not None:
+            yield done()
+
+    placed = rows.repartition(key).sortWithinPartitions(key, order, text).select(key, F.col(text).cast("binary").alias("t"))
+    return placed.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, digest string")
+
+
 def layout_documents(objects: DataFrame, doc: str, page: str) -> DataFrame:
     """One nested row per document: pages in order, objects of each in reading order."""
     placed = reading_order(objects, [doc, page])

@@ -253,8 +253,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE n_chars < 400 GROUP BY source")
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars < 400")
-    return merge.joined_text(d, ["source"], "doc_id", "text", "\n\n").select("source", F.md5("joined").alias("digest"))
+    return merge.text_digests(table(spark, sf_dir, "documents"), "source", "doc_id", "text", "\n\n")
 
 
 _MARK = "SELECT doc_id, line_no, CASE WHEN s <> '' THEN s ELSE w END AS letter, s <> '' AS strong FROM (SELECT doc_id, line_no, regexp_extract(t, '^\\s*([A-Z])\\s*[-–—.:)]\\s*\\S', 1) AS s, regexp_extract(t, '^\\s*([A-Z])\\s+\\S', 1) AS w FROM (SELECT doc_id, line_no, CASE WHEN doc_id % 3 = 0 THEN chr((65 + line_no % 26)::int) || '. ' || text ELSE text END AS t FROM l)) WHERE s <> '' OR w <> ''"

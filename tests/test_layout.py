@@ -1,11 +1,15 @@
 """Vectors for the layout operators."""
 
+import hashlib
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import geometry as geo
 from quirefold.functions import text as tx
 from quirefold.operators import grouping, merge, spatial
+from quirefold.plans.queries import QUERIES
 from quirefold.sources import objects as src
 from quirefold.streaming import jobs
 
@@ -96,3 +100,13 @@ def test_listing_is_bounded(spark, tmp_path):
         (tmp_path / f"{i}.bin").write_bytes(b"x" * (i + 1))
     rows, more = src.list_objects(spark, str(tmp_path), 2)
     assert rows.count() == 2 and more
+
+
+def test_document_text_takes_every_document(spark, sf_dir, tmp_path):
+    rows = [(2, "b" * 5000, "s", 5000), (1, "é short", "s", 7), (3, "uncounted", "s", None), (4, None, "s", None), (5, "", "s", 0), (6, "z" * 400, None, 400), (7, None, "t", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["source"]: r["digest"] for r in QUERIES["document_text"](spark, str(tmp_path)).collect()}
+    md5 = lambda *texts: hashlib.md5("\n\n".join(texts).encode()).hexdigest()
+    assert got == {"s": md5("é short", "b" * 5000, "uncounted"), None: md5("z" * 400), "t": md5()}
+    whole = f"SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text)) FROM read_parquet('{sf_dir}/documents.parquet') GROUP BY source"
+    assert {(r["source"], r["digest"]) for r in QUERIES["document_text"](spark, sf_dir).collect()} == set(duckdb.sql(whole).fetchall())
