@@ -45,7 +45,7 @@ def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, translate('٠ي' || left(text, 40) || 'ك٩', '{tx.ARABIC}', '{tx.PERSIAN}') AS persian FROM documents")
 def translate_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.concat(F.lit("٠ي"), F.substring("text", 1, 40), F.lit("ك٩"))
+    s = F.concat(F.lit("٠ي"), "text", F.lit("ك٩"))
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(s, tx.ARABIC, tx.PERSIAN).alias("persian"))
 
 

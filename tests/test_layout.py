@@ -110,3 +110,12 @@ def test_document_text_takes_every_document(spark, sf_dir, tmp_path):
     assert got == {"s": md5("é short", "b" * 5000, "uncounted"), None: md5("z" * 400), "t": md5()}
     whole = f"SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text)) FROM read_parquet('{sf_dir}/documents.parquet') GROUP BY source"
     assert {(r["source"], r["digest"]) for r in QUERIES["document_text"](spark, sf_dir).collect()} == set(duckdb.sql(whole).fetchall())
+
+
+def test_translate_digits_reads_whole_texts(spark, sf_dir, tmp_path):
+    rows = [(1, "x" * 40 + "ي٣" + "y" * 50 + "ك"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["persian"] for r in QUERIES["translate_digits"](spark, str(tmp_path)).collect()}
+    assert got == {1: "۰ی" + "x" * 40 + "ی۳" + "y" * 50 + "کک۹", 2: None, 3: "۰یک۹"}
+    whole = f"SELECT doc_id, translate('٠ي' || text || 'ك٩', '{tx.ARABIC}', '{tx.PERSIAN}') FROM read_parquet('{sf_dir}/documents.parquet')"
+    assert sorted((r["doc_id"], r["persian"]) for r in QUERIES["translate_digits"](spark, sf_dir).collect()) == sorted(duckdb.sql(whole).fetchall())
