@@ -24,20 +24,46 @@ GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 SAMPLE = 64
-CHECK = 32
 CHOSEN = 4
+WALK = 2
 SMALL = 24
 DEPTH = 5
 BLOCK = 1024
 HEAT = 2048
-LOOSE = 0.6
 ABSORB = 0.9
 _U = np.uint64
 
 
+def _overlaps(threshold: float, sample: int) -> list[float]:
+    """Probabilities of 0, 1, ... shared sample hashes for a set at the threshold and one it is held in, the hardest case."""
+    return [math.comb(sample, n) * threshold**n * (1 - threshold) ** (sample - n) for n in range(sample + 1)]
+
+
+def loose_share(recall: float, threshold: float = THRESHOLD, sample: int = SAMPLE) -> float:
+    """Bound of the check on samples: it drops at most a tenth of the pairs at the threshold that may be missed."""
+    p = _overlaps(threshold, sample)
+    return max(n for n in range(sample + 1) if sum(p[:n]) <= (1 - recall) / 10) / sample
+
+
+def missed(runs: int, loose: float, chosen: int = CHOSEN, threshold: float = THRESHOLD, sample: int = SAMPLE, steps: int = DEPTH - 1) -> float:
+    """Probability that a pair at the threshold is not found: dropped by the check, or never on one path.
+
+    Counted for the hardest case, in which every bucket is large down to the last level, so that each shared path must be
+    followed by a shared one `steps` times.
+    """
+    out = 0.0
+    for n, p in enumerate(_overlaps(threshold, sample)):
+        ends = 0.0  # probability that what follows a shared path ends before the last level
+        for _ in range(steps):
+            ends = (1 - WALK / sample * (1 - ends)) ** n
+        out += p * (1.0 if n < loose * sample else (1 - chosen / sample * (1 - ends)) ** (n * runs))
+    return out
+
+
 def runs_for(recall: float, chosen: int = CHOSEN, threshold: float = THRESHOLD) -> int:
-    """Runs after which a pair at the threshold was on one path at least once, with the wanted probability."""
-    return max(1, math.ceil(math.log(1 - recall) / -(chosen * threshold * 0.85)))
+    """Runs after which a pair at the threshold is found with the wanted probability, the check and the descent counted."""
+    loose = loose_share(recall, threshold)
+    return next(r for r in range(1, 1000) if missed(r, loose, chosen, threshold) <= 1 - recall)
 
 
 def gram_sets(w: Words, k: int = GRAM) -> Iterator[np.ndarray]:
@@ -89,13 +115,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """Loosely checked links (a, b) between sets (rep, n, sample); holds every pair at the threshold with probability `recall`."""
-    runs = runs_for(recall)
+    runs, loose = runs_for(recall), loose_share(recall)
     size = F.size("sample")
     pick = lambda salt, c: F.filter("sample", lambda t: F.pmod(F.xxhash64(t, salt), F.lit(1 << 20)) * size < F.lit((1 << 20) * c))
     first = F.flatten(F.array(*[F.transform(pick(F.lit(r), CHOSEN), lambda t: F.xxhash64(t, F.lit(r), F.lit(0))) for r in range(runs)]))
     rows = stage(sets.select("rep", F.explode(first).alias("path")), "paths")
     halved = lambda xs: F.transform(xs, lambda t: F.shiftright(t, 32).cast("int"))
-    check = sets.select("rep", halved(F.slice("sample", 1, CHECK)).alias("s"))
     whole = sets.select("rep", halved("sample").alias("s"))
     small_pairs, edges = None, None
     for level in range(depth):
@@ -118,18 +143,18 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         asked = asked.select("leader", "rep", "s", "shared", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"))
         share = F.size(F.array_intersect("s", "ls")) / F.least(F.size("s"), F.size("ls"))
         met = stage(asked.join(led, ["leader", "salt"]).select("leader", "rep", "shared", share.alias("share")), "met")
-        close = met.where(F.col("share") >= (LOOSE if level < depth - 1 else 0.0)).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+        close = met.where(F.col("share") >= (loose if level < depth - 1 else 0.0)).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
         edges = close if edges is None else edges.unionByName(close)
         if level == depth - 1:  # all that is left is linked with its leader; no paths follow
             break
         rest = met.where(F.col("share") < ABSORB).groupBy("rep").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-        walk = F.flatten(F.transform("shared", lambda p: F.transform(pick(p, 2), lambda t: F.xxhash64(t, p))))
+        walk = F.flatten(F.transform("shared", lambda p: F.transform(pick(p, WALK), lambda t: F.xxhash64(t, p))))
         rest = rest.join(sets.select("rep", "sample"), "rep")
         rows = stage(rest.select("rep", F.explode(F.array_distinct(walk)).alias("path")), "paths")
     pairs = small_pairs.distinct()
-    with_a = pairs.join(check.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-    with_b = with_a.join(check.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    close = with_b.where(F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * LOOSE).select("a", "b")
+    with_a = pairs.join(whole.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
+    with_b = with_a.join(whole.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    close = with_b.where(F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * loose).select("a", "b")
     return close if edges is None else close.unionByName(edges)
 
 

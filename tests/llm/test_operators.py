@@ -242,6 +242,18 @@ def test_blocks_of_a_component_find_all_links(spark):
     assert {r[0]: r[1] for r in got} == {i: 29 for i in range(30)}
 
 
+def test_contained_copies_are_candidates_with_the_stated_recall(spark):
+    rng, rows = np.random.default_rng(5), []
+    low = lambda grams: [int(x) for x in np.sort(grams)[: jaccard_join.SAMPLE].view(np.int64)]
+    for i in range(4000):
+        grams = rng.integers(0, 2**64, 500, dtype=np.uint64)
+        rows += [(2 * i, low(grams)), (2 * i + 1, low(grams[:400]))]  # one holds the other, similarity 0.8
+    edges = jaccard_join.candidate_edges(spark.createDataFrame(rows, "rep long, sample array<long>"))
+    found = {(r["a"], r["b"]) for r in edges.collect()}
+    assert sum((2 * i, 2 * i + 1) not in found for i in range(4000)) <= 2
+    assert jaccard_join.missed(jaccard_join.runs_for(0.9999), jaccard_join.loose_share(0.9999)) <= 1e-4
+
+
 def test_katz_is_normalised_and_adds_up(spark, sf_dir):
     import math
 
