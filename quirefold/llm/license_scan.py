@@ -53,7 +53,8 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, base=BASE_PHRASES, min_c
 
     rk = row_key(doc_id, text) tells apart rows of one doc_id. Equal rows give each span once. Null and empty texts and
     texts of one word give none. Base spans cover their whole phrase; others at least min_coverage of their grams, with at
-    most `slack` words put in or left out between neighbouring diagonals.
+    most `slack` words put in or left out between neighbouring diagonals. In a run of diagonals longer than one template allows
+    (a repeated line), each place that covers enough within 2 * slack diagonals is a span.
     """
     spark = docs.sparkSession
     w = _words(F.col("text"))
@@ -73,6 +74,16 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, base=BASE_PHRASES, min_c
         F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("n"), F.min("lo").alias("start"), (F.max("hi") + 2).alias("end")
     )
     fuzzy = merged.where((F.col("n") >= F.col("n_grams") * min_coverage) & (F.col("end") - F.col("start") <= F.col("n_grams") + 1 + 2 * slack))
+    # a longer run holds a template more than once, or with others between: each place in it is judged by itself, a place
+    # being the diagonals within the words that may be put in
+    whole = Window.partitionBy("doc_id", "rk", "tmpl", "run")
+    place = Window.partitionBy("doc_id", "rk", "tmpl").orderBy("diag").rangeBetween(0, 2 * slack)
+    long_runs = runs.withColumn("words", F.max("hi").over(whole) + 2 - F.min("lo").over(whole)).where(F.col("words") > F.col("n_grams") + 1 + 2 * slack)
+    places = long_runs.select(
+        "doc_id", "rk", "label", "base", "n_grams", F.size(F.array_distinct(F.flatten(F.collect_list("hit").over(place)))).alias("n"),
+        F.min("lo").over(place).alias("start"), (F.max("hi").over(place) + 2).alias("end"),
+    )
+    fuzzy = fuzzy.select("doc_id", "rk", "label", "base", "n_grams", "n", "start", "end").unionByName(places.where(F.col("n") >= F.col("n_grams") * min_coverage))
     return exact.unionByName(fuzzy.select("doc_id", "rk", "label", "base", "start", "end", (F.col("n") / F.col("n_grams")).alias("coverage")))
 
 

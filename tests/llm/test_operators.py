@@ -319,3 +319,10 @@ def test_pipeline_stages_act(spark):
     again = fm_index.find_contamination(clean, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert clean.columns == docs.columns and clean.count() == docs.count() and again.where("size(spans) > 0").count() == 0
     assert pii.pii_digest(common.stage(cp.pii_stage(spark, docs, sf), "redacted")).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
+
+
+def test_repeated_license_lines_keep_their_label(spark):
+    line = "creative commons attribution sharealike"
+    docs = spark.createDataFrame([(n, "\n".join([line] * n)) for n in (1, 3, 4, 50)] + [(90, "creative commons " * 40)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(docs).collect()}
+    assert all("cc-by-sa" in got[n][0].split(",") and got[n][1] == 1.0 for n in (1, 3, 4, 50)) and "cc-by-sa" not in got[90][0].split(",")
