@@ -168,7 +168,10 @@ class FMIndex:
 
 # ---------------------------------------------------------------- Spark side
 def benchmark_pairs(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct (item_id string, phrase binary) of all windows; a shorter item is one window, one without words none."""
+    """Distinct (item_id string, phrase binary) of all windows; a shorter item is one window, one without words none.
+
+    Items without an id keep their windows, with a null item_id.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches):
@@ -181,7 +184,7 @@ def benchmark_pairs(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     phrases.append(w.hashes[s : min(s + window, hi)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(phrases, pa.binary())], ["item_id", "phrase"])
 
-    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string"), "text")
+    rows = benchmark.select(F.col("item_id").cast("string"), "text")
     return rows.mapInArrow(cut, "item_id string, phrase binary").distinct()
 
 
@@ -199,8 +202,9 @@ def phrase_blocks(pairs: DataFrame, block_pairs: int = BLOCK_PAIRS) -> list:
         matrix = np.zeros((len(uniques), max(lengths, default=1)), dtype=_U)
         for i, p in enumerate(uniques):
             matrix[i, matrix.shape[1] - lengths[i] :] = np.frombuffer(bytes(p), dtype=_U)
-        first = np.searchsorted(codes, np.arange(len(uniques) + 1))
-        out.append(spark.sparkContext.broadcast((matrix, lengths, first, part["item_id"].to_numpy(dtype=str))))
+        named = part["item_id"].notna().to_numpy()
+        first = np.searchsorted(codes[named], np.arange(len(uniques) + 1))
+        out.append(spark.sparkContext.broadcast((matrix, lengths, first, part["item_id"][named].to_numpy(dtype=str))))
     return out
 
 
@@ -262,8 +266,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """One row per document: n_words, merged spans of hit words (end exclusive), and the items found, sorted as strings.
 
     with_text adds the text without the hit words; keep names further columns of docs to carry along. Null and empty
-    texts have no words and no spans; an empty benchmark hits nothing; items without an id are left out; repeated
-    documents and repeated items change nothing else; a document longer than a shard is a shard of its own.
+    texts have no words and no spans; an empty benchmark hits nothing; items without an id hit, but aren't in
+    the list of items; repeated documents and repeated items change nothing else; a document longer than a shard is a shard of its own.
     """
     pairs = benchmark_pairs(benchmark.select("item_id", "text"), window)
     blocks = phrase_blocks(pairs, block_pairs)

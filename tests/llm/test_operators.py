@@ -326,3 +326,12 @@ def test_repeated_license_lines_keep_their_label(spark):
     docs = spark.createDataFrame([(n, "\n".join([line] * n)) for n in (1, 3, 4, 50)] + [(90, "creative commons " * 40)], "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(docs).collect()}
     assert all("cc-by-sa" in got[n][0].split(",") and got[n][1] == 1.0 for n in (1, 3, 4, 50)) and "cc-by-sa" not in got[90][0].split(",")
+
+
+def test_items_without_an_id_hit(spark):
+    passage = " ".join(f"secret{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (5, "five " + " ".join(f"other{i}" for i in range(20)))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in fm_index.find_contamination(docs, bench, with_text=True).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(1, 21)] and got[1]["items"] == [] and got[1]["text"].split() == ["before", "after"]
+    assert not got[2]["spans"]
