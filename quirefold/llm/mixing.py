@@ -105,17 +105,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
 
     size counts words between blanks; null and empty texts have size 0 and take no words. A null source is one source,
     ranked last. Repeated rows are rounded one by one; reruns agree, however the rows are split, since groups and draws
-    come from hashes of doc_id. An empty table gives an empty result.
+    come from hashes of doc_id, text and the number among equal rows. An empty table gives an empty result.
     """
     key = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("!"), F.col("source")))
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sizes = stage(docs.select("doc_id", key.alias("skey"), words.alias("size")), "sizes")
+    sizes = stage(docs.select("doc_id", key.alias("skey"), words.alias("size"), F.xxhash64("text").alias("hash")), "sizes")
     sources = stage(source_targets(sizes.select("skey", "size"), weights, cap).withColumn("groups", F.ceil(F.col("n_docs") / group)), "targets")
     most = sources.agg(F.max("groups")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sizes.join(sources, "skey").select(
+    # equal rows are counted and numbered, so that rows without an id or of one id spread over the groups too
+    each = sizes.groupBy("doc_id", "skey", "size", "hash").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    each = each.select("doc_id", "skey", "size", "hash", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    rows = each.join(sources, "skey").select(
         "doc_id", "size", "source_size", "target", "source_rank",
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")).alias("grp"),
+        F.pmod(F.xxhash64("doc_id", "size", "hash", "copy", F.lit(seed)), F.col("groups")).alias("grp"),
         F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p"),
     )
     done = None

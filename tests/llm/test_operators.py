@@ -335,3 +335,13 @@ def test_items_without_an_id_hit(spark):
     got = {r["doc_id"]: r for r in fm_index.find_contamination(docs, bench, with_text=True).collect()}
     assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(1, 21)] and got[1]["items"] == [] and got[1]["text"].split() == ["before", "after"]
     assert not got[2]["spans"]
+
+
+def test_rows_of_one_id_are_spread_over_groups(spark, monkeypatch):
+    rows = [(None, f"word {i} " + "x " * (i % 9), "a") for i in range(600)] + [(7, "the same row", "a")] * 600
+    docs, most, level = spark.createDataFrame(rows, "doc_id long, text string, source string"), [], mixing._round_level
+    spy = lambda r, last, seed: (most.append(r.groupBy("source_rank", "grp").count().agg({"count": "max"}).first()[0]), level(r, last, seed))[1]
+    monkeypatch.setattr(mixing, "_round_level", spy)
+    got = mixing.mix_sources(docs, group=100).collect()
+    assert most[0] <= 200 and collections.Counter(r["doc_id"] for r in got) == {None: 600, 7: 600}
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= max(r["size"] for r in got)
