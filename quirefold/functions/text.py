@@ -1,4 +1,4 @@
-"""Text columns of the layout engine: canonical text, model artefacts, quality gates, list markers."""
+"""Text columns of the layout engine: canonical text, tags and roles, quality gates, list markers."""
 
 from __future__ import annotations
 
