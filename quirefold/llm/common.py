@@ -21,6 +21,8 @@ _U = np.uint64
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or "file:///tmp/checkpoints/quirefold").rstrip("/")
 
 
@@ -59,6 +61,26 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+#: Bits of the bitmap that marked() broadcasts: 8 MB, however many keys there are.
+MARK_BITS = 26
+
+
+def marked(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """rows with `marked`: true for all whose column is among the keys, and for few others while keys are well below 2^26.
+
+    The keys' hashes are set in a bitmap of 2^26 bits, which is broadcast in pieces of 4 KB. The more keys, the more other
+    rows are marked too; what is marked must still be joined, so results don't depend on it. Null is never marked.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
+    keys = keys.toDF("_key").where("_key IS NOT NULL").select(place("_key").alias("_p"))
+    pieces = keys.groupBy(F.shiftright("_p", 15).alias("_piece")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(32767)).alias("_bits"))
+    rows = rows.withColumn("_p", F.when(F.col(column).isNotNull(), place(column)))
+    rows = rows.withColumn("_at", F.shiftright("_p", 15)).join(F.broadcast(pieces), F.col("_at") == F.col("_piece"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST((_p & 32767) div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.col("_p") % 8).cast("int"))
+    return rows.withColumn("marked", F.coalesce(bit == 1, F.lit(False))).drop("_p", "_at", "_piece", "_bits")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 

@@ -1,10 +1,15 @@
 """N-gram Jaccard join by chosen paths.
 
-Texts become sets of five-word grams; equal sets are one class member from the start. Each set keeps its 64 least gram
-hashes as a sample. In every run a set walks down the paths of a few sampled grams; sets on one path share those grams.
-Small buckets are compared all against all; a large bucket is compared with its leader, sets much like the leader leave
-it, and the rest is split on further sampled grams. Runs repeat until the target recall is met. Candidate links, checked
-on the samples, give loose components; inside these all pairs are verified on whole sets, block against block.
+Texts become sets of five-word grams; rows with equal sets are one set from the start. Each set keeps its 64 least gram
+hashes as a sample. In every run a set walks down the paths of the few sampled grams that the run chooses; sets on one path
+share those grams. Small buckets are compared all against all. A large bucket is compared with its leader; sets much like
+the leader leave it, and the rest is split on grams it does not share with the leader, so that a passage common to the
+bucket does not hold it together. Runs repeat until the target recall is met.
+
+Candidate links, checked on the samples, give loose components, which are verified on whole sets. In a large component
+every set's distance to the component's centre (the grams that most of its sets hold) is measured first. Jaccard distance is
+a metric: two sets near the centre are linked without a comparison, two at very different distances are not linked, and only
+blocks between which that leaves doubt are compared. So a group of near copies costs its size, not the square of it.
 """
 
 from __future__ import annotations
@@ -15,22 +20,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_size, gram_hashes, mix64, stage, text_buffers
+from .common import Words, by_size, gram_hashes, marked, mix64, row_key, stage, text_buffers, unstage
 
 GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 SAMPLE = 64
-CHOSEN = 4
-WALK = 2
+WALK = 12
 SMALL = 24
-DEPTH = 5
+DEPTH = 8
 BLOCK = 1024
+BLOCK_GRAMS = 2 << 20
 HEAT = 2048
 ABSORB = 0.9
+UNITS = 100
 _U = np.uint64
 
 
@@ -45,25 +51,29 @@ def loose_share(recall: float, threshold: float = THRESHOLD, sample: int = SAMPL
     return max(n for n in range(sample + 1) if sum(p[:n]) <= (1 - recall) / 10) / sample
 
 
-def missed(runs: int, loose: float, chosen: int = CHOSEN, threshold: float = THRESHOLD, sample: int = SAMPLE, steps: int = DEPTH - 1) -> float:
-    """Probability that a pair at the threshold is not found: dropped by the check, or never on one path.
+def missed(runs: int, loose: float, threshold: float = THRESHOLD, sample: int = SAMPLE) -> float:
+    """Probability that a pair at the threshold is dropped by the check on samples, or never meets on a first path.
 
-    Counted for the hardest case, in which every bucket is large down to the last level, so that each shared path must be
-    followed by a shared one `steps` times.
+    A run chooses each gram with probability 1 / (threshold * sample), so a pair meets about once a run.
     """
-    out = 0.0
-    for n, p in enumerate(_overlaps(threshold, sample)):
-        ends = 0.0  # probability that what follows a shared path ends before the last level
-        for _ in range(steps):
-            ends = (1 - WALK / sample * (1 - ends)) ** n
-        out += p * (1.0 if n < loose * sample else (1 - chosen / sample * (1 - ends)) ** (n * runs))
-    return out
+    chosen = 1 / (threshold * sample)
+    return sum(p * (1.0 if n < loose * sample else (1 - chosen) ** (n * runs)) for n, p in enumerate(_overlaps(threshold, sample)))
+
+
+def parted(loose: float, walk: int = WALK, threshold: float = THRESHOLD, sample: int = SAMPLE) -> float:
+    """Probability that one step down a large bucket parts a pair at the threshold, in the hardest case.
+
+    A pair whose two sets are both linked to the leader needs no further path. Else one of them shares less than `loose` with
+    the leader, so the pair shares at least threshold - loose of the sample outside of it, of 1 - loose that may be chosen.
+    """
+    free = sample * (1 - loose)
+    return (1 - min(1.0, walk / free)) ** math.floor(sample * (threshold - loose))
 
 
-def runs_for(recall: float, chosen: int = CHOSEN, threshold: float = THRESHOLD) -> int:
-    """Runs after which a pair at the threshold is found with the wanted probability, the check and the descent counted."""
+def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
+    """Runs after which a pair at the threshold has met on a first path with the wanted probability, the check counted."""
     loose = loose_share(recall, threshold)
-    return next(r for r in range(1, 1000) if missed(r, loose, chosen, threshold) <= 1 - recall)
+    return next(r for r in range(1, 1000) if missed(r, loose, threshold) <= 1 - recall)
 
 
 def gram_sets(w: Words, k: int = GRAM) -> Iterator[np.ndarray]:
@@ -79,23 +89,34 @@ def gram_sets(w: Words, k: int = GRAM) -> Iterator[np.ndarray]:
             yield np.empty(0, dtype=_U)
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart."""
+    with np.errstate(over="ignore"):
+        return int(np.sum(s * _U(0x9E3779B97F4A7C15), dtype=_U).view(np.int64)), int(np.sum(mix64(s ^ _U(7)), dtype=_U).view(np.int64))
+
+
 def sketches(docs: DataFrame, k: int = GRAM, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, n, f1, f2, sample): size of the set, two 64-bit sums that tell sets apart, and its least grams."""
+    """(doc_id, rk, n, f1, f2, sample): row key, size of the set, two 64-bit sums that tell sets apart, and its least grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches):
             n, f1, f2, low = [], [], [], []
-            with np.errstate(over="ignore"):
-                for s in gram_sets(Words(*text_buffers(b.column(1)), "alnum"), k):
-                    n.append(len(s))
-                    f1.append(int(np.sum(s * _U(0x9E3779B97F4A7C15), dtype=_U).view(np.int64)))
-                    f2.append(int(np.sum(mix64(s ^ _U(7)), dtype=_U).view(np.int64)))
-                    low.append(s[:sample].view(np.int64))
+            for s in gram_sets(Words(*text_buffers(b.column(1)), "alnum"), k):
+                x, y = _sums(s)
+                n.append(len(s))
+                f1.append(x)
+                f2.append(y)
+                low.append(s[:sample].view(np.int64))
             cut = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
             flat = pa.array(np.concatenate(low) if low else np.empty(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), flat)], ["doc_id", "n", "f1", "f2", "sample"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), flat)], ["doc_id", "rk", "n", "f1", "f2", "sample"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", row_key(F.col("doc_id"), F.col("text")).alias("rk"))
+    return rows.mapInArrow(run, "doc_id long, rk long, n long, f1 long, f2 long, sample array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sample array<long>")
+
+def set_id() -> Column:
+    return F.xxhash64("f1", "f2", "n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -108,54 +129,62 @@ def components(edges: DataFrame) -> DataFrame:
         ends = label.select(F.col("node").alias("mid"), F.col("comp").alias("end"))
         new = stage(new.join(ends, "mid").select("node", "old", F.least("mid", "end").alias("comp")), "labels")
         moved = new.where("old <> comp").limit(1).count()
-        label = new.select("node", "comp")
+        unstage(label)
+        label = new
         if not moved:
-            return label
+            unstage(both)
+            return label.select("node", "comp")
 
 
-def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Loosely checked links (a, b) between sets (rep, n, sample); holds every pair at the threshold with probability `recall`."""
+def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, walk: int = WALK) -> DataFrame:
+    """Loosely checked links (a, b) between sets (sid, sample); holds every pair at the threshold with about probability `recall`."""
     runs, loose = runs_for(recall), loose_share(recall)
-    size = F.size("sample")
-    pick = lambda salt, c: F.filter("sample", lambda t: F.pmod(F.xxhash64(t, salt), F.lit(1 << 20)) * size < F.lit((1 << 20) * c))
-    first = F.flatten(F.array(*[F.transform(pick(F.lit(r), CHOSEN), lambda t: F.xxhash64(t, F.lit(r), F.lit(0))) for r in range(runs)]))
-    rows = stage(sets.select("rep", F.explode(first).alias("path")), "paths")
+    within = lambda h, of: F.pmod(h, F.lit(1 << 20)) * of < F.lit(1 << 20)
+    first = F.flatten(
+        F.array(*[F.transform(F.filter("sample", lambda t: within(F.xxhash64(t, F.lit(r)), F.size("sample") * THRESHOLD)), lambda t: F.xxhash64(t, F.lit(r), F.lit(0))) for r in range(runs)])
+    )
+    rows = stage(sets.select("sid", F.explode(first).alias("path")), "paths")
     halved = lambda xs: F.transform(xs, lambda t: F.shiftright(t, 32).cast("int"))
-    whole = sets.select("rep", halved("sample").alias("s"))
-    small_pairs, edges = None, None
+    whole = sets.select("sid", halved("sample").alias("s"))
+    used, pairs, edges = [], None, None
     for level in range(depth):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("leader")).where("m > 1")
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("leader")).where("m > 1")
         full = stage(rows.join(sizes, "path"), "full")
-        lists = full.where(F.col("m") <= small).groupBy("path").agg(F.array_sort(F.collect_set("rep")).alias("r"))
+        unstage(rows)
+        used.append(full)
+        lists = full.where(F.col("m") <= small).groupBy("path").agg(F.array_sort(F.collect_set("sid")).alias("r"))
         halves = lists.select("r", F.posexplode("r").alias("i", "a")).select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
-        small_pairs = halves if small_pairs is None else small_pairs.unionByName(halves)
-        large = full.where((F.col("m") > small) & (F.col("rep") != F.col("leader")))
+        pairs = halves if pairs is None else pairs.unionByName(halves)
+        large = full.where((F.col("m") > small) & (F.col("sid") != F.col("leader")))
         if not large.limit(1).count():
             break
-        # one comparison for a set and leader, with the few paths they share as a list; samples are joined once per set, not
-        # once per comparison; a leader of many sets is copied per HEAT sets
+        # one comparison for a set and leader, whatever the number of paths they share; samples are joined once per set, and
+        # a leader of many sets is copied per HEAT sets
         heat = F.ceil(F.col("m") / HEAT).cast("int")
-        led = large.groupBy("leader").agg(F.max(heat).alias("copies")).join(whole.select(F.col("rep").alias("leader"), F.col("s").alias("ls")), "leader")
+        led = large.groupBy("leader").agg(F.max(heat).alias("copies")).join(whole.select(F.col("sid").alias("leader"), F.col("s").alias("ls")), "leader")
         led = led.select("leader", "ls", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-        asked = large.repartition("rep").groupBy("leader", "rep").agg(F.max(heat).alias("copies"), F.collect_list("path").alias("shared"))
-        asked = asked.groupBy("rep").agg(F.collect_list(F.struct("leader", "copies", "shared")).alias("asks")).join(whole, "rep")
-        asked = asked.select("rep", "s", F.inline("asks"))
-        asked = asked.select("leader", "rep", "s", "shared", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int").alias("salt"))
-        share = F.size(F.array_intersect("s", "ls")) / F.least(F.size("s"), F.size("ls"))
-        met = stage(asked.join(led, ["leader", "salt"]).select("leader", "rep", "shared", share.alias("share")), "met")
-        close = met.where(F.col("share") >= (loose if level < depth - 1 else 0.0)).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+        asked = large.groupBy("sid", "leader").agg(F.max(heat).alias("copies")).join(whole, "sid")
+        asked = asked.select("leader", "sid", "s", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int").alias("salt"))
+        met = asked.join(led, ["leader", "salt"]).select("leader", "sid", F.array_except("s", "ls").alias("own"), F.size("s").alias("n"), F.size("ls").alias("ln"))
+        share = (F.col("n") - F.size("own")) / F.least("n", "ln")
+        # sets that stay in the bucket go on along grams that the leader does not hold
+        chosen = F.filter("own", lambda t: within(F.xxhash64(t, F.col("leader")), F.size("own") / walk))
+        on = F.when(share < ABSORB, F.transform(chosen, lambda t: F.xxhash64(t, F.col("leader"))))
+        met = stage(met.select("leader", "sid", share.alias("share"), on.alias("next")), "met")
+        used.append(met)
+        last = level == depth - 1  # all that is left is linked with its leader; no paths follow
+        close = met.where(F.col("share") >= (0.0 if last else loose)).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
         edges = close if edges is None else edges.unionByName(close)
-        if level == depth - 1:  # all that is left is linked with its leader; no paths follow
+        if last:
             break
-        rest = met.where(F.col("share") < ABSORB).groupBy("rep").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-        walk = F.flatten(F.transform("shared", lambda p: F.transform(pick(p, WALK), lambda t: F.xxhash64(t, p))))
-        rest = rest.join(sets.select("rep", "sample"), "rep")
-        rows = stage(rest.select("rep", F.explode(F.array_distinct(walk)).alias("path")), "paths")
-    pairs = small_pairs.distinct()
-    with_a = pairs.join(whole.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
-    with_b = with_a.join(whole.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+        rows = stage(met.select("sid", F.explode("next").alias("path")), "paths")
+    pairs = pairs.distinct()
+    with_a = pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
+    with_b = with_a.join(whole.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     close = with_b.where(F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * loose).select("a", "b")
-    return close if edges is None else close.unionByName(edges)
+    out = stage(close if edges is None else close.unionByName(edges), "candidates")
+    unstage(*used)
+    return out
 
 
 def _similar(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -181,71 +210,199 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.n
     return both >= threshold * (na[:, None] + nb[None, :] - both) - 1e-6
 
 
-def verified_links(docs: DataFrame, members: DataFrame, k: int = GRAM, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """All links inside loose components: (rep, root, links), a row per rep and pair of blocks.
+def _links(ids: np.ndarray, sets: list[np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least index reachable over links, and number of links, of each set."""
+    root = np.arange(len(ids))
+    while True:  # least index reached, row by row
+        new = np.minimum(root, np.where(near, root[None, :], len(ids)).min(axis=1, initial=len(ids)))
+        new = new[new]
+        if (new == root).all():
+            return root, near.sum(axis=1)
+        root = new
+
+
+def _all_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    if len(sets) > 6:
+        near = _similar(sets, sets, threshold)
+        np.fill_diagonal(near, False)
+        return near
+    near = np.zeros((len(sets), len(sets)), dtype=bool)
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            near[i, j] = near[j, i] = both >= threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-6
+    return near
+
+
+LINK_SCHEMA = "sid long, root long, links long"
 
-    members: (rep, comp). A component of more than `block` sets is cut into blocks; each pair of blocks is a task, so no
-    task holds more than two blocks, and only counts and one spanning link per set leave it.
-    """
-    sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = stage(members.join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "placed")
+
+def _small_components(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links inside components that one task compares whole; several of them, sorted, pass through a task."""
+
+    def links(ids: list, sets: list) -> pa.RecordBatch:
+        order = np.argsort(ids)
+        ids, sets = np.array(ids, dtype=np.int64)[order], [sets[i] for i in order]
+        root, n = _links(ids, sets, _all_links(sets, threshold))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(n.astype(np.int64))], ["sid", "root", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches):
-            sets = pa.array([s.tobytes() for s in gram_sets(Words(*text_buffers(b.column(1)), "alnum"), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), sets], ["rep", "comp", "blocks", "blk", "grams"])
+        now, ids, sets = None, [], []
+        for b in batches:
+            for comp, sid, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if comp != now:
+                    if ids:
+                        yield links(ids, sets)
+                    now, ids, sets = comp, [], []
+                ids.append(sid)
+                sets.append(np.frombuffer(g.as_py(), dtype=_U))
+        if ids:
+            yield links(ids, sets)
+
+    return rows.repartition("comp").sortWithinPartitions("comp").select("comp", "sid", "grams").mapInArrow(run, LINK_SCHEMA)
 
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep").select("rep", "text", "comp", "blocks", "blk")
-    grams = rows.mapInArrow(run, "rep long, comp long, blocks int, blk int, grams binary").dropDuplicates(["rep"])
-    tasks = grams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("blk", "other")).withColumn("y", F.greatest("blk", "other"))
+
+def _distances(rows: DataFrame) -> DataFrame:
+    """(comp, sid, q): distance of each set of a large component to its centre, in whole UNITS, rounded down.
+
+    The centre holds the grams that more than half of the sets hold; it is copied per part of the component.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            comps = b.column(0).to_numpy()
+            for comp in np.unique(comps):
+                held = [np.frombuffer(b.column(1)[int(i)].as_py(), dtype=_U) for i in np.flatnonzero(comps == comp)]
+                gram, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), comp)), pa.array(gram.view(np.int64)), pa.array(n)], ["comp", "gram", "n"])
+
+    counts = rows.select("comp", "grams").mapInArrow(tally, "comp long, gram long, n long").groupBy("comp", "gram").agg(F.sum("n").alias("held"))
+    total = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.first("parts").alias("parts"))
+    common = counts.join(total, "comp").where("2 * held > m")
+    centres = total.join(common.groupBy(F.col("comp").alias("c")).agg(F.collect_list("gram").alias("centre")), F.col("comp") == F.col("c"), "left")
+    centres = centres.select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.coalesce("centre", F.expr("CAST(array() AS array<long>)")).alias("centre"))
+    centres = stage(centres, "centres")
+
+    def far(sets: pa.Table, centre: pa.Table) -> pa.Table:
+        c = np.sort(np.asarray(centre.column("centre")[0].as_py() if centre.num_rows else [], dtype=np.int64).view(_U))
+        out = []
+        for g in sets.column("grams"):
+            s = np.frombuffer(g.as_py(), dtype=_U)
+            at = np.minimum(np.searchsorted(c, s), max(len(c) - 1, 0))
+            both = int((c[at] == s).sum()) if len(c) else 0
+            out.append(min(UNITS - 1, int(UNITS * (1 - both / (len(s) + len(c) - both)))))
+        return pa.table({"comp": sets.column("comp"), "sid": sets.column("sid"), "q": pa.array(out, pa.int32())})
+
+    return rows.groupBy("comp", "part").cogroup(centres.groupBy("comp", "part")).applyInArrow(far, "comp long, sid long, q int")
+
+
+def _large_components(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links inside components of many sets, block against block where distances to the centre leave doubt."""
+    limit = round(UNITS * (1 - threshold))
+    placed = stage(_distances(rows), "distances")
+    rings = placed.groupBy("comp", "q").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"))
+    blocked = stage(placed.join(rings, ["comp", "q"]).withColumn("cut", F.pmod(F.xxhash64("sid"), F.col("cuts")).cast("int")).drop("cuts"), "blocked")
+    blocks = stage(blocked.groupBy("comp", "q", "cut").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("least")), "blocks")
+    other = blocks.select("comp", F.col("q").alias("oq"), F.col("cut").alias("ocut"), F.col("size").alias("osize"), F.col("least").alias("oleast"))
+    met = blocks.join(other, "comp")  # a row per pair of blocks, not of sets
+    sure, never = F.col("q") + F.col("oq") + 2 <= limit, F.abs(F.col("q") - F.col("oq")) - 1 >= limit
+    known = met.where(sure).groupBy("comp", "q", "cut").agg(F.sum("osize").alias("links"), F.min_by("oleast", F.struct("oq", "ocut")).alias("root"))
+    known = known.withColumn("links", F.col("links") - F.when(2 * F.col("q") + 2 <= limit, 1).otherwise(0))
+    told = blocked.join(known, ["comp", "q", "cut"]).select("sid", "root", "links")
+    # the sets nearest the centre are linked with one of each ring, so that what is sure hangs together
+    inner = met.where(sure & (F.struct("oq", "ocut") > F.struct("q", "cut"))).select(F.col("least").alias("sid"), F.col("oleast").alias("root"), F.lit(0).cast("long").alias("links"))
+    doubt = met.where(~sure & ~never).select("comp", "q", "cut", F.least(F.struct("q", "cut"), F.struct(F.col("oq").alias("q"), F.col("ocut").alias("cut"))).alias("x"), F.greatest(F.struct("q", "cut"), F.struct(F.col("oq").alias("q"), F.col("ocut").alias("cut"))).alias("y"))
+    grams = rows.select(F.col("sid").alias("s2"), "grams")
+    doubtful = blocked.join(doubt.select("comp", "q", "cut").distinct(), ["comp", "q", "cut"], "left_semi").join(grams, F.col("sid") == F.col("s2")).drop("s2")
+    tasks = doubtful.join(doubt, ["comp", "q", "cut"]).select("comp", "x", "y", (F.struct("q", "cut") == F.col("x")).alias("left"), "sid", "grams")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        reps = pdf["rep"].to_numpy()
-        sets = [np.frombuffer(g, dtype=_U) for g in pdf["grams"]]
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        ia, ib = np.flatnonzero(pdf["blk"] == x), np.flatnonzero(pdf["blk"] == y)
-        links, root = np.zeros(len(reps), dtype=np.int64), np.arange(len(reps))
-        if len(ia) and len(ib):
-            near = np.zeros((len(reps), len(reps)), dtype=bool)
+        pdf = pdf.sort_values("sid")
+        ids, sets = pdf["sid"].to_numpy(), [np.frombuffer(g, dtype=_U) for g in pdf["grams"]]
+        left = pdf["left"].to_numpy()
+        if left.all():
+            near = _all_links(sets, threshold)
+        else:
+            ia, ib = np.flatnonzero(left), np.flatnonzero(~left)
+            near = np.zeros((len(ids), len(ids)), dtype=bool)
             near[np.ix_(ia, ib)] = _similar([sets[i] for i in ia], [sets[i] for i in ib], threshold)
             near |= near.T
-            np.fill_diagonal(near, False)
-            links = near.sum(axis=1)
-            while True:  # least index reached, row by row
-                reach = np.where(near, root[None, :], len(reps)).min(axis=1, initial=len(reps))
-                new = np.minimum(root, reach)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-        return pd.DataFrame({"rep": reps, "root": reps[root], "links": links, "blocks": pdf["blocks"]})
+        root, n = _links(ids, sets, near)
+        return pd.DataFrame({"sid": ids, "root": ids[root], "links": n})
+
+    return told.unionByName(inner).unionByName(tasks.groupBy("comp", "x", "y").applyInPandas(compare, LINK_SCHEMA))
+
+
+def verified_links(docs: DataFrame, members: DataFrame, k: int = GRAM, threshold: float = THRESHOLD, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """All links inside loose components: (sid, root, links), rows of one sid to be added up.
+
+    members: (sid, comp, n, doc_id), doc_id one that has the set. Only texts of members leave their task, found by a bitmap of
+    fixed size. A component within `block` sets and `block_grams` grams is compared in one task, larger ones block by block.
+    """
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    sizes = sizes.select("comp", F.ceil(F.greatest(F.col("m") / block, F.col("total") / block_grams)).cast("int").alias("parts"))
+    placed = stage(members.join(sizes, "comp").select("sid", "comp", "parts"), "placed")
 
-    return tasks.groupBy("comp", "x", "y").applyInPandas(compare, "rep long, root long, links long, blocks int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_size(batches):
+            sets = list(gram_sets(Words(*text_buffers(b.column(1)), "alnum"), k))
+            sums = [_sums(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sums], pa.int64()), pa.array([y for _, y in sums], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["f1", "f2", "n", "grams"])
+
+    asked = marked(docs.select("doc_id", "text"), "doc_id", members.select("doc_id")).where("marked").select("doc_id", "text").dropDuplicates(["doc_id", "text"])
+    found = asked.mapInArrow(run, "f1 long, f2 long, n long, grams binary").select(set_id().alias("sid"), "grams")
+    rows = stage(found.join(placed, "sid").dropDuplicates(["sid"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")), "grams")
+    links = _small_components(rows.where("parts = 1"), threshold)
+    if rows.where("parts > 1").limit(1).count():
+        links = links.unionByName(_large_components(rows.where("parts > 1"), threshold, block))
+    return links
+
+
+def near_duplicate_rows(docs: DataFrame, k: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """near_duplicates() of the rows with a doc_id, with rk (row_key of doc_id and text) and stays: whether a row with this
+    key is the one of its class that stays, the least (doc_id, rk)."""
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    rows = stage(sketches(named, k).withColumn("sid", set_id()), "sketches")
+    sets = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sample").alias("sample"), F.min(F.struct("doc_id", "rk")).alias("lead"))
+    sets = stage(sets, "sets")
+    edges = candidate_edges(sets.select("sid", "sample"), recall)
+    members = components(edges).withColumnRenamed("node", "sid").join(sets.select("sid", "n", "doc_id"), "sid")
+    links = stage(verified_links(named, stage(members, "members"), k, threshold), "links")
+    counts = links.groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    comps = components(links.where("root <> sid").select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    classes = counts.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "links", F.coalesce("comp", "sid").alias("class"))
+    led = sets.select("sid", "lead").join(classes, "sid", "left").select("sid", "lead", F.coalesce("class", "sid").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    heads = led.groupBy("class").agg(F.min("lead").alias("head"))
+    told = stage(led.join(heads, "class").select("sid", "links", "head"), "classes")
+    out = rows.select("doc_id", "rk", "sid", "n").join(told, "sid", "left")
+    stays = F.coalesce((F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.rk") == F.col("rk")), F.lit(True))
+    return out.select("doc_id", F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_grams"), "rk", stays.alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, k: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per input row: (doc_id, class_id, n_links, n_grams).
 
     class_id: the least doc_id reachable over links of the threshold or more (equal sets included); n_links: how many other
-    gram sets the document's set is linked to. Null and empty texts are alone in their class, without links; so are rows
+    gram sets the row's set is linked to. Null and empty texts are alone in their class, without links; so are rows
     without a doc_id (class null). Texts of fewer than k words have one gram, all their words. Repeated rows get equal
-    values; of rows that share a doc_id but not the text, one stands for the id.
+    values; rows that share a doc_id but not the text are judged each by its text. Results depend on the rows alone, not on
+    how they are split.
     """
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    all_sets = stage(sketches(named, k), "sketches")
-    keyed = all_sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sample").alias("sample"))
-    keyed = stage(keyed, "sets")
-    edges = stage(candidate_edges(keyed.select("rep", "n", "sample"), recall), "candidates")
-    members = components(edges).withColumnRenamed("node", "rep")
-    links = stage(verified_links(named, members, k, threshold), "links")
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
-    single = counts.where("blocks = 1").select("rep", "root", "links")
-    if links.where("blocks > 1").limit(1).count():
-        spread = components(links.where("blocks > 1").select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), F.col("comp").alias("root"))
-        single = single.unionByName(counts.where("blocks > 1").select("rep", "links").join(spread, "rep").select("rep", "root", "links"))
-    classes = keyed.select("f1", "f2", "n", "rep").join(single, "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = all_sets.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_grams"))
+    out = near_duplicate_rows(docs, k, threshold, recall).select("doc_id", "class_id", "n_links", "n_grams")
     nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_grams"))
     return out.unionByName(nameless)
+
+
+def keep_one_of_each(docs: DataFrame, k: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class of near duplicates: the least (doc_id, row key), once.
+
+    Null and empty texts and rows without a doc_id all stay. Only rows with a key of which some row goes are shuffled; a bitmap
+    of fixed size tells them.
+    """
+    judged = stage(near_duplicate_rows(docs, k, threshold, recall).where("n_grams > 0").groupBy("doc_id", "rk").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"), "judged")
+    row = row_key(F.col("doc_id"), F.col("text"))
+    rows = marked(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), row.alias("key")), "key", judged.select("rk"))
+    asked = rows.where("marked").join(judged, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("rk")), "left")
+    held = asked.where("stays").dropDuplicates(["id", "key"])
+    out = rows.where("NOT marked").select("row").unionByName(asked.where("rk IS NULL").select("row")).unionByName(held.select("row"))
+    return out.select("row.*")
