@@ -27,10 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id stays; documents without a doc_id stay."""
-    classes = jaccard_join.near_duplicates(docs)
-    copies = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near copies one row stays, the least (doc_id, row key); rows without a doc_id or words all stay."""
+    return jaccard_join.keep_one_of_each(docs).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
