@@ -4,7 +4,8 @@ Texts become sets of five-word grams; rows with equal sets are one set from the
 hashes as a sample. In every run a set walks down the paths of the few sampled grams that the run chooses; sets on one path
 share those grams. Small buckets are compared all against all. A large bucket is compared with its leader; sets much like
 the leader leave it, and the rest is split on grams it does not share with the leader, so that a passage common to the
-bucket does not hold it together. Runs repeat until the target recall is met.
+bucket does not hold it together. Buckets within one component of the links found so far have nothing to add and end. Runs
+repeat until the target recall is met.
 
 Candidate links, checked on the samples, give loose components, which are verified on whole sets. In a large component
 every set's distance to the component's centre (the grams that most of its sets hold) is measured first. Jaccard distance is
@@ -29,9 +30,9 @@ GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 SAMPLE = 64
-WALK = 12
 SMALL = 24
 DEPTH = 8
+SPREAD = 3
 BLOCK = 1024
 BLOCK_GRAMS = 2 << 20
 HEAT = 2048
@@ -60,14 +61,17 @@ def missed(runs: int, loose: float, threshold: float = THRESHOLD, sample: int =
     return sum(p * (1.0 if n < loose * sample else (1 - chosen) ** (n * runs)) for n, p in enumerate(_overlaps(threshold, sample)))
 
 
-def parted(loose: float, walk: int = WALK, threshold: float = THRESHOLD, sample: int = SAMPLE) -> float:
-    """Probability that one step down a large bucket parts a pair at the threshold, in the hardest case.
+def steps(share: Column, paths: Column, runs: int, loose: float, threshold: float = THRESHOLD) -> Column:
+    """How many grams a set goes on along that shares `share` of its sample with the leader of a large bucket.
 
-    A pair whose two sets are both linked to the leader needs no further path. Else one of them shares less than `loose` with
-    the leader, so the pair shares at least threshold - loose of the sample outside of it, of 1 - loose that may be chosen.
+    About that share of the set's first paths leads to this leader, so that part of the recall rests on it: of `runs` meetings
+    a pair at the threshold has in all, share * runs must be made up for by grams outside the leader, of which the pair shares
+    (threshold - share) / (1 - share) at least. Two sets linked to the leader are one component and need no path; a linked
+    set goes on as one just not linked would, to meet such a one. Further down, where few of the set's paths still lead to a
+    leader, SPREAD grams for each do.
     """
-    free = sample * (1 - loose)
-    return (1 - min(1.0, walk / free)) ** math.floor(sample * (threshold - loose))
+    part = F.least(share, F.lit(loose))
+    return F.least(part * runs * (1 - part) / (threshold - part), paths * SPREAD)
 
 
 def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
@@ -136,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("node", "comp")
 
 
-def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, walk: int = WALK) -> DataFrame:
+def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """Loosely checked links (a, b) between sets (sid, sample); holds every pair at the threshold with about probability `recall`."""
     runs, loose = runs_for(recall), loose_share(recall)
     within = lambda h, of: F.pmod(h, F.lit(1 << 20)) * of < F.lit(1 << 20)
@@ -148,7 +152,9 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
     whole = sets.select("sid", halved("sample").alias("s"))
     used, pairs, edges = [], None, None
     for level in range(depth):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("leader")).where("m > 1")
+        label = "label" if level else "sid"
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("leader"), F.min(label).alias("lo"), F.max(label).alias("hi"))
+        sizes = sizes.where("lo < hi").drop("lo", "hi")
         full = stage(rows.join(sizes, "path"), "full")
         unstage(rows)
         used.append(full)
@@ -163,12 +169,12 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         heat = F.ceil(F.col("m") / HEAT).cast("int")
         led = large.groupBy("leader").agg(F.max(heat).alias("copies")).join(whole.select(F.col("sid").alias("leader"), F.col("s").alias("ls")), "leader")
         led = led.select("leader", "ls", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-        asked = large.groupBy("sid", "leader").agg(F.max(heat).alias("copies")).join(whole, "sid")
-        asked = asked.select("leader", "sid", "s", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int").alias("salt"))
-        met = asked.join(led, ["leader", "salt"]).select("leader", "sid", F.array_except("s", "ls").alias("own"), F.size("s").alias("n"), F.size("ls").alias("ln"))
+        asked = large.groupBy("sid", "leader").agg(F.max(heat).alias("copies"), F.count(F.lit(1)).alias("paths")).join(whole, "sid")
+        asked = asked.select("leader", "sid", "s", "paths", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int").alias("salt"))
+        met = asked.join(led, ["leader", "salt"]).select("leader", "sid", "paths", F.array_except("s", "ls").alias("own"), F.size("s").alias("n"), F.size("ls").alias("ln"))
         share = (F.col("n") - F.size("own")) / F.least("n", "ln")
         # sets that stay in the bucket go on along grams that the leader does not hold
-        chosen = F.filter("own", lambda t: within(F.xxhash64(t, F.col("leader")), F.size("own") / walk))
+        chosen = F.filter("own", lambda t: within(F.xxhash64(t, F.col("leader")), F.size("own") / steps(share, F.col("paths"), runs, loose)))
         on = F.when(share < ABSORB, F.transform(chosen, lambda t: F.xxhash64(t, F.col("leader"))))
         met = stage(met.select("leader", "sid", share.alias("share"), on.alias("next")), "met")
         used.append(met)
@@ -177,7 +183,9 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         edges = close if edges is None else edges.unionByName(close)
         if last:
             break
-        rows = stage(met.select("sid", F.explode("next").alias("path")), "paths")
+        labels = components(edges)
+        rows = met.select("sid", F.explode("next").alias("path")).join(labels, F.col("sid") == F.col("node"), "left")
+        rows = stage(rows.select("sid", "path", F.coalesce("comp", "sid").alias("label")), "paths")
     pairs = pairs.distinct()
     with_a = pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(whole.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
