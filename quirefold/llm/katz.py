@@ -1,6 +1,6 @@
 """Katz backoff language model: Good-Turing discounted bigram and word counts, exactly normalised backoff weights.
 
-Texts are staged in chunks of about four megabytes. A chunk asks for its distinct words and bigrams, once each, as packed
+Texts are staged in chunks of about four megabytes, a row each, so that no file split cuts one. A chunk asks for its distinct words and bigrams, once each, as packed
 and sorted hashes; the tables of counts are partitioned by the leading bits of the hash, so a hot word is one key of each
 chunk like any other. A partition sums the training counts and answers every chunk in the order it asked. Chunks then
 score their documents; of each bigram one chunk, its owner, adds to the sums from which the history's backoff weight
@@ -114,6 +114,7 @@ class KatzModel:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
 
+CHUNK_SCHEMA = "chunk long, doc_id array<long>, text array<string>, train array<boolean>, size long"
 DOC_SCHEMA = "kind int, rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, h long, num double, den double"
 
 
@@ -131,39 +132,28 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2)) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 24, 0
         for b in by_size(batches, most=CHUNK_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, base | k, dtype=np.int64)), b.column(0).cast(pa.int64()), b.column(1), b.column(2)], ["chunk", "doc_id", "text", "train"])
+            one = pa.array([0, b.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(one, c) for c in (b.column(0).cast(pa.int64()), b.column(1).fill_null("").cast(pa.string()), b.column(2))]
+            size = int(text_buffers(b.column(1))[1][-1])
+            yield pa.RecordBatch.from_arrays([pa.array([base | k]), *lists, pa.array([size])], ["chunk", "doc_id", "text", "train", "size"])
             k += 1
 
     path = f"{scratch_root(spark)}/chunks-{uuid.uuid4().hex}"
-    docs.select("doc_id", "text", train.alias("train")).mapInArrow(cut, "chunk long, doc_id long, text string, train boolean").write.option("compression", "zstd").parquet(path)
-    chunks = spark.read.schema("chunk long, doc_id long, text string, train boolean").parquet(path)
-    size = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs.select("doc_id", "text", train.alias("train")).mapInArrow(cut, CHUNK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    size = chunks.agg(F.sum("size")).first()[0] or 0
     bits = max(4, min(24, math.ceil(math.log2(max(1, size / (8 << 20))))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = b.column(0).to_numpy()
-            for lo, hi in zip(*(lambda c: (np.concatenate([[0], c]), np.append(c, len(ids))))(np.flatnonzero(ids[1:] != ids[:-1]) + 1), strict=True):
-                part = b.slice(int(lo), int(hi - lo))
-                g = Grams(*text_buffers(part.column(1)), part.column(2).to_numpy(zero_copy_only=False))
+        for b in batches:
+            for i in range(b.num_rows):
+                g = Grams(*text_buffers(b.column(1).slice(i, 1).flatten()), b.column(2).slice(i, 1).flatten().to_numpy(zero_copy_only=False))
                 out = []
                 for kind, keys, n in ((0, g.words, g.word_n), (1, g.pairs, g.pair_n)):
                     at = _parts(keys, bits)
-                    out += [(p, kind, int(ids[lo]), _pack(keys[at[p] : at[p + 1]], KEY_BYTES), _pack(n[at[p] : at[p + 1]], 5)) for p in np.flatnonzero(at[1:] > at[:-1]).tolist()]
+                    out += [(p, kind, b.column(0)[i].as_py(), _pack(keys[at[p] : at[p + 1]], KEY_BYTES), _pack(n[at[p] : at[p + 1]], 5)) for p in np.flatnonzero(at[1:] > at[:-1]).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "kind", "chunk", "keys", "n"])
 
-        rest = None
-        for b in batches:  # a chunk may reach over two Arrow batches
-            t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks()
-            ids = t.column(0).to_numpy()
-            last = int(np.searchsorted(ids, ids[-1])) if len(ids) and (ids[1:] >= ids[:-1]).all() else 0
-            whole = t.slice(0, last)
-            rest = t.slice(last).combine_chunks().to_batches()[0] if t.num_rows > last else None
-            for w in whole.to_batches():
-                yield from rows(w)
-        if rest is not None:
-            yield from rows(rest)
-
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, part = int(pdf["kind"].iloc[0]), int(pdf["part"].iloc[0])
         pdf = pdf.sort_values("chunk").reset_index(drop=True)
@@ -190,8 +180,9 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2)) -> DataFra
     model = KatzModel(np.array([x or 0.0 for x in sums]))
 
     def score(texts: pa.Table, said: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
-        g = Grams(*text_buffers(texts.column("text")), texts.column("train").to_numpy())
+        row = texts.combine_chunks().to_batches()[0]  # a chunk is one row
+        ids, whole, learnt = (row.column(row.schema.get_field_index(c)).flatten() for c in ("doc_id", "text", "train"))
+        g = Grams(*text_buffers(whole), learnt.to_numpy(zero_copy_only=False))
         said = said.sort_by([("kind", "ascending"), ("part", "ascending")])
         kind = said.column("kind").to_numpy()
         got = [np.concatenate([_unpack(b.as_py(), 6) for b, k in zip(said.column("said"), kind, strict=True) if k == want]).astype(np.int64) for want in (0, 1)]
@@ -203,7 +194,7 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2)) -> DataFra
             value = np.where(seen, np.log10(_discounted(c_pair, model.db) / np.maximum(c_history, 1)), np.log10(p_word[g.pair_word]))
         sum_by = lambda x: np.bincount(g.doc, weights=x, minlength=g.n_docs)
         n = g.n_docs
-        rid = (int(texts.column("chunk")[0].as_py()) << 20) + np.arange(n) if n else np.empty(0, dtype=np.int64)
+        rid = (int(row.column(row.schema.get_field_index("chunk"))[0].as_py()) << 20) + np.arange(n) if n else np.empty(0, dtype=np.int64)
         waits = (~seen & (c_history > 0))[g.pair]
         slot, times = np.unique(np.stack([g.doc[waits], g.pair_history[g.pair[waits]].view(np.int64)]), axis=1, return_counts=True) if waits.any() else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
         own = np.flatnonzero(owned)
@@ -211,7 +202,7 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2)) -> DataFra
         num = np.bincount(back, weights=(c_pair[own] - _discounted(c_pair[own], model.db)) / np.maximum(c_history[own], 1), minlength=len(h))
         den = np.bincount(back, weights=p_word[g.pair_word[own]], minlength=len(h))
         tables = [
-            {"kind": np.zeros(n, dtype=np.int32), "rid": rid, "doc_id": texts.column("doc_id").combine_chunks(), "n_tokens": sum_by(np.ones(len(g.doc))).astype(np.int64), "n_known": sum_by(c_word[g.word] > 0).astype(np.int64), "base_score": sum_by(model.base(c_word)[g.word]), "score": sum_by(value[g.pair])},
+            {"kind": np.zeros(n, dtype=np.int32), "rid": rid, "doc_id": ids, "n_tokens": sum_by(np.ones(len(g.doc))).astype(np.int64), "n_known": sum_by(c_word[g.word] > 0).astype(np.int64), "base_score": sum_by(model.base(c_word)[g.word]), "score": sum_by(value[g.pair])},
             {"kind": np.ones(len(h), dtype=np.int32), "h": h, "num": num, "den": den},
             {"kind": np.full(len(times), 2, dtype=np.int32), "rid": rid[slot[0]], "h": slot[1], "num": times.astype(float)},
         ]

@@ -334,6 +334,25 @@ def test_katz_is_normalised_and_adds_up(spark, sf_dir):
         assert abs(r["score"] - s) < 1e-6 * max(1, abs(s)) and abs(r["base_score"] - b) < 1e-6 * max(1, abs(b))
 
 
+def test_katz_scores_do_not_depend_on_file_splits(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r["doc_id"]: r for r in katz.katz_scores(docs).collect()}
+    monkeypatch.setattr(katz, "CHUNK_BYTES", 1 << 17)
+    conf = {"parquet.block.size": "65536", "spark.sql.files.maxPartitionBytes": "65536", "spark.sql.files.openCostInBytes": "1024", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r for r in katz.katz_scores(docs.repartition(3)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (w["n_tokens"], w["n_known"], w["train_tokens"])
+        assert abs(got[i]["score"] - w["score"]) < 1e-6 * max(1, abs(w["score"]))
+
+
 @pytest.mark.parametrize("how", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
 @pytest.mark.parametrize("tile", [0, 16])
 @pytest.mark.parametrize("predictor", [1, 2])
