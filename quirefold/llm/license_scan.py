@@ -130,8 +130,12 @@ dg AS (SELECT doc_id, tmpl, base, label, n_grams, diag, list(DISTINCT tpos) AS h
 r0 AS (SELECT *, coalesce((diag - lag(diag) OVER (PARTITION BY doc_id, tmpl ORDER BY diag) > {SLACK})::int, 1) AS new FROM dg WHERE NOT base),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tmpl ORDER BY diag ROWS UNBOUNDED PRECEDING) AS run FROM r0),
 m AS (SELECT doc_id, tmpl, label, n_grams, run, len(list_distinct(flatten(list(hit)))) AS n, min(lo) AS s, max(hi) + 2 AS e FROM r GROUP BY ALL),
+q AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, tmpl, run) + 2 - min(lo) OVER (PARTITION BY doc_id, tmpl, run) AS words FROM r),
+pl AS (SELECT doc_id, label, n_grams, len(list_distinct(flatten(list(hit) OVER p))) AS n, min(lo) OVER p AS s FROM q WHERE words > n_grams + 1 + {2 * SLACK}
+  WINDOW p AS (PARTITION BY doc_id, tmpl ORDER BY diag RANGE BETWEEN CURRENT ROW AND {2 * SLACK} FOLLOWING)),
 spans AS (SELECT doc_id, label, true AS base, diag AS s, 1.0::double AS coverage FROM dg WHERE base AND len(hit) = n_grams
-  UNION ALL SELECT doc_id, label, false, s, n::double / n_grams FROM m WHERE n >= n_grams * {MIN_COVERAGE} AND e - s <= n_grams + 1 + {2 * SLACK}),
+  UNION ALL SELECT doc_id, label, false, s, n::double / n_grams FROM m WHERE n >= n_grams * {MIN_COVERAGE} AND e - s <= n_grams + 1 + {2 * SLACK}
+  UNION ALL SELECT doc_id, label, false, s, n::double / n_grams FROM pl WHERE n >= n_grams * {MIN_COVERAGE}),
 f AS (SELECT doc_id, count(*) FILTER (base) AS nb, min(s) FILTER (base) AS fw, max(s) FILTER (base) AS lw,
   coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS bl, array_to_string(list_sort(list(DISTINCT label)), ',') AS la, max(coverage) AS sc FROM spans GROUP BY doc_id)
 SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(nb, 0)::bigint AS n_base, fw::bigint AS first_word, lw::bigint AS last_word, coalesce(bl, '') AS base_labels,
