@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_size, text_buffers
+from .common import UPPER, Words, by_size, text_buffers
 
 WINDOW = 10
 #: (item, window) pairs that are broadcast at once; a longer benchmark is searched in more blocks.
@@ -293,3 +293,20 @@ def contamination_digest(hits: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The contract's columns in DuckDB SQL, every window compared as text."""
+    words = lambda t: f"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents),
+b AS (SELECT item_id::varchar AS item, {words("text")} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least({window}, len(w)) AS n, array_to_string(w[i : i + least({window}, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - {window - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p))),
+h AS (SELECT doc_id, n, i, item FROM g JOIN p USING (n, phrase)),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item) FILTER (item IS NOT NULL)) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(len(items), 0)::bigint AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity_ordinal": op10_toxicity_ordinal,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op2_substring_dedup": substring_dedup.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op2_substring_dedup": substring_dedup.oracle(), "op3_fm_decontamination": fm_index.oracle()}
