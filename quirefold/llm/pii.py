@@ -3,9 +3,9 @@
 Base rules (patterns and checks) always hold. Beside them, high-recall generators propose overlapping spans: runs of digits
 and marks, long mixed tokens, written-out mail addresses. Each candidate becomes a few yes/no features of its format and
 its left context. All candidates of all texts are counted by feature pattern, so training reads a small table whose size is
-bounded by the number of patterns (2^features), however large the corpus. Trees of depth two are boosted on these counts,
-with weak labels: a number that the base rules confirm, a token that a key word announces. A threshold calibrated to a
-wanted precision selects what is added. Scoring is a sum of CASE expressions.
+bounded by the number of patterns (2^features), however large the corpus. Trees of depth two are boosted on the counts of
+one half of the texts, with weak labels: a number that the base rules confirm, a token that a key word announces. A threshold
+calibrated to a wanted precision on the other half selects what is added. Scoring is a sum of CASE expressions.
 """
 
 from __future__ import annotations
@@ -112,8 +112,8 @@ def _candidate(text: Column, kind: str, s: Column, base: Column) -> Column:
 
 
 def annotate(docs: DataFrame) -> DataFrame:
-    """Adds _t (text, null as empty), a column of base spans per kind, and _c, all candidates."""
-    rows = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
+    """(_row: the row of docs, _t: text, null as empty, a column of base spans per kind, and _c, all candidates)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     rows = rows.withColumns({f"_b_{k}": c for k, c in base_spans(F.col("_t")).items()})
     rows = rows.withColumn("_base", F.concat(*[F.col(f"_b_{k}") for k in KINDS]))
     found = [F.transform(find_all(F.col("_t"), p, GENERATOR_HINTS[k]), lambda s: _candidate(F.col("_t"), k, s, F.col("_base"))) for k, p in GENERATORS.items()]
@@ -187,26 +187,30 @@ class PiiModel:
         leaf = lambda side: F.when(on(side[0]), F.lit(side[2])).otherwise(F.lit(side[1]))
         return sum((F.when(on(root), leaf(b)).otherwise(leaf(a)) for root, a, b in self.trees), F.lit(self.prior))
 
+    def score_of(self, bits: int) -> float:
+        sides = ((a, b)[bits >> root & 1] for root, a, b in self.trees)
+        return self.prior + sum(v1 if bits >> f & 1 else v0 for f, v0, v1 in sides)
+
     def selects(self, bits: Column) -> Column:
         return self.score(bits) >= F.lit(self.least) - 1e-9 if math.isfinite(self.least) else F.lit(False)
 
 
 def train_pii(rows: DataFrame) -> PiiModel:
-    """Fits on all candidates of annotate()d rows; at most 2^features counts come to the driver."""
-    c = rows.select(F.explode("_c").alias("c")).groupBy("c.bits").agg(F.count_if("c.weak").alias("y"), F.count_if(~F.col("c.weak")).alias("n")).collect()
-    counts = sorted((r["bits"], float(r["y"]), float(r["n"])) for r in c)
-    if not counts:
+    """Fits on the candidates of half of annotate()d texts and calibrates on the other half, by a hash of the text; at most
+    2 * 2^features counts come to the driver. Without candidates in either half nothing is added."""
+    half = rows.select(F.explode("_c").alias("c"), F.pmod(F.xxhash64("_t"), F.lit(2)).alias("half"))
+    found = half.groupBy("c.bits", "half").agg(F.count_if("c.weak").alias("y"), F.count_if(~F.col("c.weak")).alias("n")).collect()
+    fit, held = (sorted((r["bits"], float(r["y"]), float(r["n"])) for r in found if r["half"] == h) for h in (0, 1))
+    if not fit or not held:
         return PiiModel()
-    prior, trees, score = boost(counts)
-    return PiiModel(prior, trees, threshold(counts, score))
-
+    prior, trees, _ = boost(fit)
+    model = PiiModel(prior, trees)
+    model.least = threshold(held, {b: model.score_of(b) for b, *_ in held})
+    return model
 
-def find_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
-    """docs with base (array<struct<start, rank, kind, end>>, sorted) and spans (base and added ones, sorted) put to them.
 
-    Null and empty texts have no spans. Spans added never touch a base span. Rows are independent, so ties and repeated
-    rows need no rule; an empty table gives an empty result. Names beginning with an underscore are kept for this operator.
-    """
+def _spans(docs: DataFrame, model: PiiModel | None) -> DataFrame:
+    """(_row, base, spans) of find_pii()."""
     rows = annotate(docs)
     model = model or train_pii(annotate(docs.select("text")))
     span = lambda s, rank, kind: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"))
@@ -215,7 +219,17 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     kept = F.filter("_c", lambda c: ~c["base"] & model.selects(c["bits"]))
     added = F.concat(*[F.transform(F.filter(kept, lambda c: c["kind"] == k), lambda c: span(c, rank[k], k)) for k in GENERATORS])
     rows = rows.withColumn("base", base).withColumn("spans", F.array_sort(F.concat(F.col("base"), added)))
-    return rows.drop("_t", "_base", "_c", *[f"_b_{k}" for k in KINDS])
+    return rows.select("_row", "base", "spans")
+
+
+def find_pii(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
+    """docs with base (array<struct<start, rank, kind, end>>, sorted) and spans (base and added ones, sorted) put to them.
+
+    Null and empty texts have no spans. Spans added never touch a base span. Rows are independent, so ties and repeated
+    rows need no rule; an empty table gives an empty result. Columns of docs named base or spans give way to the new ones.
+    """
+    kept = [c for c in docs.columns if c not in ("base", "spans")]
+    return _spans(docs, model).select(*[F.col("_row")[c].alias(c) for c in kept], "base", "spans")
 
 
 def _listed(spans: str) -> Column:
@@ -230,13 +244,15 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
-    """docs with every span of text replaced by its kind; of overlapping spans the first stands for all it touches."""
-    rows = find_pii(docs)
+    """docs with every span of text replaced by its kind; of overlapping spans the first stands for all it touches. All
+    other columns stay as they are, whatever their names; null texts stay null."""
+    rows, text = _spans(docs, None), F.col("_row")["text"]
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark.split("{}")[0]), F.upper(s["kind"]), F.lit(mark.split("{}")[1]))
+        piece = F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark.split("{}")[0]), F.upper(s["kind"]), F.lit(mark.split("{}")[1]))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("spans") > 0, new).otherwise(F.col("text"))).drop("base", "spans")
+    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+    whole = F.when(F.size("spans") > 0, new).otherwise(text)
+    return rows.select(*[whole.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
