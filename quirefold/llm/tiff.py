@@ -1,8 +1,9 @@
 """Media columns: a TIFF reader and writer over binary columns, one row per page.
 
 The reader walks the chain of image directories, decodes PackBits, LZW and deflate strips or tiles, undoes horizontal
-differencing, and gives one row per page. The writer makes 8-bit images the reader (or any other) can open.
-Damaged files give one row with an error and no pixels; null and empty files give a row with error "empty".
+differencing, and gives one row per page. Samples have 1, 8 or 16 bits, interleaved or in planes. The writer makes 8-bit
+images the reader (or any other) can open. Damaged files give one row with an error and no pixels after the pages read till
+then; a page of more than MOST_SAMPLES samples is an error too, before memory is taken; null and empty files give "empty".
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 UNIT = 576
 ROWS_PER_PAGE = 256
-PAGE_SCHEMA = "doc_id long, page long, width long, height long, samples long, compression long, predictor long, pixels binary, error string"
+#: Samples of one page that the reader takes on.
+MOST_SAMPLES = 1 << 28
+PAGE_SCHEMA = "doc_id long, page long, width long, height long, samples long, bits long, compression long, predictor long, pixels binary, error string"
 
 
 # ---------------------------------------------------------------- codecs
@@ -193,29 +196,45 @@ def read_tiff(data: bytes) -> Iterator[tuple[np.ndarray, dict[str, int]]]:
         seen.add(at)
         f, following = _fields(data, at, e)
         w, h, s = f[256][0], f[257][0], f.get(277, [1])[0]
-        how, predictor = f.get(259, [NONE])[0], f.get(317, [1])[0]
-        if set(f.get(258, [1])) != {8} or how not in _DECODE or f.get(284, [1])[0] != 1:
-            raise ValueError("only interleaved 8-bit samples in known compressions are read")
+        how, predictor, planes = f.get(259, [NONE])[0], f.get(317, [1])[0], s if f.get(284, [1])[0] == 2 else 1
+        (bits,) = set(f.get(258, [1])) if len(set(f.get(258, [1]))) == 1 else (0,)
+        if bits not in (1, 8, 16) or how not in _DECODE or predictor not in (1, 2) or (predictor == 2 and bits == 1):
+            raise ValueError(f"{bits}-bit samples in compression {how} with predictor {predictor} are not read")
         if 324 in f:
             tw, th, offsets, counts = f[322][0], f[323][0], f[324], f[325]
         else:
             tw, th, offsets, counts = w, min(f.get(278, [h])[0], h), f[273], f[279]
-        across = -(-w // tw)
-        page = np.zeros((-(-h // th) * th, across * tw, s), dtype=np.uint8)
-        for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
-            raw = np.frombuffer(_DECODE[how](data[o : o + c]), dtype=np.uint8)
-            rows = min(th, h - i * th) if 324 not in f else th
-            block = raw[: rows * tw * s].reshape(rows, tw, s)
+        if min(w, h, s, tw, th) < 1 or (w + tw) * (h + th) * s > MOST_SAMPLES:
+            raise ValueError(f"page of {w} x {h} x {s} samples in blocks of {tw} x {th}")
+        across, down, each = -(-w // tw), -(-h // th), s // planes
+        if len(offsets) != len(counts) or len(offsets) < across * down * planes:
+            raise ValueError("blocks are missing")
+        kind = np.dtype(e + "u2") if bits == 16 else np.dtype(np.uint8)
+        page = np.zeros((down * th, across * tw, s), dtype=kind.newbyteorder("="))
+        for i in range(across * down * planes):
+            plane, at_block = divmod(i, across * down)
+            y, x = at_block // across * th, at_block % across * tw
+            rows = th if 324 in f else min(th, h - y)
+            line = -(-tw * each // 8) if bits == 1 else tw * each * kind.itemsize
+            raw = _DECODE[how](data[offsets[i] : offsets[i] + counts[i]])[: rows * line]
+            if len(raw) < rows * line:
+                raise ValueError("a block is too short")
+            if bits == 1:
+                block = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(rows, line), axis=1)[:, : tw * each].reshape(rows, tw, each)
+            else:
+                block = np.frombuffer(raw, dtype=kind).reshape(rows, tw, each)
             if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=np.uint8)
-            y, x = i // across * th, i % across * tw
-            page[y : y + rows, x : x + tw] = block
-        yield page[:h, :w], {"compression": how, "predictor": predictor}
+                block = np.cumsum(block, axis=1, dtype=page.dtype)
+            page[y : y + rows, x : x + tw, plane * each : (plane + 1) * each] = block
+        yield page[:h, :w], {"bits": bits, "compression": how, "predictor": predictor}
         at = following
 
 
 def tiff_pages(files: DataFrame, id_col: str = "doc_id", data_col: str = "media") -> DataFrame:
-    """One row per page of each file: (doc_id, page, width, height, samples, compression, predictor, pixels, error)."""
+    """One row per page of each file: (doc_id, page, width, height, samples, bits, compression, predictor, pixels, error).
+
+    pixels: a byte a sample, two (little-endian) for 16 bits. Files are read one by one; repeated files each give their rows.
+    """
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -226,9 +245,9 @@ def tiff_pages(files: DataFrame, id_col: str = "doc_id", data_col: str = "media"
                     if not data:
                         raise ValueError("empty")
                     for n, (px, how) in enumerate(read_tiff(bytes(data))):
-                        rows.append((key, n, px.shape[1], px.shape[0], px.shape[2], how["compression"], how["predictor"], px.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as err:
-                    rows.append((key, n, None, None, None, None, None, None, str(err) or type(err).__name__))
+                        rows.append((key, n, px.shape[1], px.shape[0], px.shape[2], how["bits"], how["compression"], how["predictor"], px.tobytes(), None))
+                except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as err:
+                    rows.append((key, n, None, None, None, None, None, None, None, str(err) or type(err).__name__))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")], dtype=object)
             yield out
 
@@ -242,9 +261,13 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
 
 
 def payload_tiff(payload: bytes) -> bytes:
-    """The payload as grey pages of UNIT pixels a row and at most ROWS_PER_PAGE rows, deflate with differencing."""
+    """The payload as grey pages of UNIT pixels a row and at most ROWS_PER_PAGE rows.
+
+    Its checksum chooses how: LZW and PackBits for one payload in 16 each, else deflate with differencing, in tiles for one in 16.
+    """
     a = np.frombuffer(payload, dtype=np.uint8).reshape(-1, UNIT)
-    return write_tiff([a[y : y + ROWS_PER_PAGE] for y in range(0, len(a), ROWS_PER_PAGE)])
+    how, tile = {0: (LZW, 0), 1: (PACKBITS, 0), 2: (DEFLATE, 64)}.get(zlib.crc32(payload) % 16, (DEFLATE, 0))
+    return write_tiff([a[y : y + ROWS_PER_PAGE] for y in range(0, len(a), ROWS_PER_PAGE)], how, 1 if how == PACKBITS else 2, tile=tile)
 
 
 DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"

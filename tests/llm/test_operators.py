@@ -363,11 +363,101 @@ def test_tiff_round_trip(how, tile, predictor):
     assert [np.squeeze(g).tolist() for g in got] == [p.tolist() for p in pages]
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_of_other_depths_and_planes(order):
+    """Files written here by hand: 1-bit, 16-bit with differencing, and two planes."""
+    import struct
+
+    def file(w, h, bits, samples, strips, predictor=1, planar=1):
+        out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + bytes(4))
+        at = []
+        for x in strips:
+            at.append(len(out))
+            out += x
+        fields = [(256, 4, [w]), (257, 4, [h]), (258, 3, [bits] * samples), (259, 3, [1]), (273, 4, at), (277, 3, [samples]), (278, 4, [h]), (279, 4, [len(x) for x in strips]), (284, 3, [planar]), (317, 3, [predictor])]
+        entries = b""
+        for tag, kind, v in fields:
+            raw = struct.pack(order + f"{len(v)}{ {3: 'H', 4: 'I'}[kind] }", *v)
+            if len(raw) > 4:
+                place, raw = struct.pack(order + "I", len(out)), out.extend(raw)
+                raw = place
+            entries += struct.pack(order + "HHI", tag, kind, len(v)) + raw.ljust(4, b"\0")
+        struct.pack_into(order + "I", out, 4, len(out))
+        return bytes(out + struct.pack(order + "H", len(fields)) + entries + bytes(4))
+
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2, (5, 11), dtype=np.uint8)
+    (got, how), = tiff.read_tiff(file(11, 5, 1, 1, [np.packbits(one, axis=1).tobytes()]))
+    assert how["bits"] == 1 and got[:, :, 0].tolist() == one.tolist()
+    deep = rng.integers(0, 65536, (4, 6, 2)).astype(np.uint16)
+    change = np.concatenate([deep[:, :1], deep[:, 1:] - deep[:, :-1]], axis=1).astype(order + "u2")
+    (got, how), = tiff.read_tiff(file(6, 4, 16, 2, [change.tobytes()], predictor=2))
+    assert how["bits"] == 16 and got.tolist() == deep.tolist()
+    flat = rng.integers(0, 256, (3, 7, 2), dtype=np.uint8)
+    (got, _), = tiff.read_tiff(file(7, 3, 8, 2, [flat[:, :, i].tobytes() for i in (0, 1)], planar=2))
+    assert got.tolist() == flat.tolist()
+
+
+def test_media_of_documents_against_plain_code(spark):
+    """Contract columns of every document of sf0.01; all three ways of storing occur."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ways = set()
+    for r in tiff.text_media(docs).collect():
+        raw = texts[r["doc_id"]].encode()
+        want = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        media = tiff.payload_tiff(want)
+        ways.add(next(tiff.read_tiff(media))[1]["compression"])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+    assert ways == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE}
+
+
+def test_targets_of_documents_against_plain_code(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["source"], len(SPACED.findall(r["text"] or ""))) for r in docs.collect()]
+    size = collections.Counter()
+    for _, s, n in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, target, open_ = {s: 1 + i % 3 for i, s in enumerate(names)}, {}, set(names)
+    while open_:
+        left, heavy = sum(size.values()) - sum(target.values()), sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / heavy > 3 * size[s]}
+        target |= {s: 3.0 * size[s] for s in full} or {s: left * weight[s] / heavy for s in open_}
+        open_ = open_ - full if full else set()
+    want = {i: (n, size[s], target[s]) for i, s, n in rows}
+    for r in mixing.mix_sources(docs).collect():
+        n, total, goal = want[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (n, total) and abs(r["target"] - goal) < 1e-6 * max(1, goal)
+
+
+def test_license_between_repeated_words(spark):
+    texts = {1: "under the " * 6 + "licensed under the mit license", 2: "any kind " * 5 + license_scan.TEMPLATES[-1][1] + " or implied" * 5, 3: "under the " * 9}
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    import duckdb
+    import pandas as pd
+
+    con, documents = duckdb.connect(), pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())})  # noqa: F841
+    con.register("documents", documents)
+    assert {r[0]: r[1:] for r in con.execute(license_scan.oracle()).fetchall()} == {i: tuple(r)[1:] for i, r in got.items()}
+    assert got[1]["labels"] == "mit" and got[1]["score"] == 1.0 and got[2]["labels"] == "warranty" and got[2]["score"] == 1.0 and got[3]["labels"] == ""
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", "b", "s", "t")], "doc_id long, text string, base string, spans string, _t string")
+    assert pii.redact(df).collect()[0].asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "base": "b", "spans": "s", "_t": "t"}
+    assert pii.find_pii(df).columns == ["doc_id", "text", "_t", "base", "spans"]
+
+
 def test_damaged_files_give_errors(spark):
     good = tiff.write_tiff([np.zeros((4, 4), dtype=np.uint8)])
-    df = spark.createDataFrame([(1, good), (2, good[:20]), (3, None), (4, b"GIF89a")], "doc_id long, media binary")
+    tag = lambda n, v: n.to_bytes(2, "little") + b"\x04\0\x01\0\0\0" + v.to_bytes(4, "little")
+    no_rows, vast = good.replace(tag(278, 64), tag(278, 0)), good.replace(tag(256, 4), tag(256, 1 << 31)).replace(tag(257, 4), tag(257, 1 << 31))
+    assert good not in (no_rows, vast)
+    df = spark.createDataFrame([(1, good), (2, good[:20]), (3, None), (4, b"GIF89a"), (5, no_rows), (6, vast)], "doc_id long, media binary")
     got = {r["doc_id"]: r for r in tiff.tiff_pages(df).collect()}
-    assert got[1]["pixels"] == bytes(16) and all(got[i]["error"] for i in (2, 3, 4))
+    assert got[1]["pixels"] == bytes(16) and all(got[i]["error"] for i in (2, 3, 4, 5, 6))
 
 
 def test_media_read_back(spark):
