@@ -11,22 +11,9 @@ from ..operators import grouping, merge, spatial
 from ..session import table
 from ..sources import objects as src
 from ..streaming import jobs
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .views import LINES_SQL, OBJECTS, lines, objects
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _where(**named: str) -> str:
     return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in named.items()) + " "
 
@@ -43,7 +30,7 @@ def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.canonical_text(F.col("text")).alias("canonical"))
 
 
-@query(f"SELECT doc_id, translate('٠ي' || left(text, 40) || 'ك٩', '{tx.ARABIC}', '{tx.PERSIAN}') AS persian FROM documents")
+@query(f"SELECT doc_id, translate('٠ي' || text || 'ك٩', '{tx.ARABIC}', '{tx.PERSIAN}') AS persian FROM documents")
 def translate_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.concat(F.lit("٠ي"), "text", F.lit("ك٩"))
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(s, tx.ARABIC, tx.PERSIAN).alias("persian"))
@@ -63,8 +50,8 @@ def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"SELECT conv_id, turn, regexp_replace(role || ': ' || text, '^\s*(?:{'|'.join(tx.ROLES)})\s*:\s*', '', 'i') AS said FROM conversations")
 def strip_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = tx.strip_role(F.concat_ws(": ", "role", "text"))
-    return table(spark, sf_dir, "conversations").where("role IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", said.alias("said"))
+    said = tx.strip_role(F.concat(F.col("role"), F.lit(": "), F.col("text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"))
 
 
 @query(
@@ -251,7 +238,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.joined_text(l, ["doc_id"], "line_no", "text", "\n\n").select("doc_id", F.concat("joined", F.lit("\n")).alias("joined"))
 
 
-@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE n_chars < 400 GROUP BY source")
+@query("SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.text_digests(table(spark, sf_dir, "documents"), "source", "doc_id", "text", "\n\n")
 
@@ -329,10 +316,10 @@ def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("SELECT 'missing' AS side, n AS key FROM (SELECT c_nationkey AS n FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000) UNION ALL SELECT 'unknown', n FROM (SELECT s_nationkey AS n FROM supplier WHERE s_acctbal > 7000 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+@query("SELECT 'missing' AS side, n AS key FROM (SELECT l_partkey AS n FROM lineitem EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'unknown', n FROM (SELECT o_custkey AS n FROM orders EXCEPT SELECT l_partkey FROM lineitem)")
 def env_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("key"))
-    b = table(spark, sf_dir, "supplier").where("s_acctbal > 7000").select(F.col("s_nationkey").alias("key"))
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"))
+    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
     return a.subtract(b).select(F.lit("missing").alias("side"), "key").unionByName(b.subtract(a).select(F.lit("unknown").alias("side"), "key"))
 
 
