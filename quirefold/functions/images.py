@@ -41,11 +41,12 @@ def margin_crop(image: np.ndarray) -> tuple[int, int, int, int]:
     blank, the crop small, or little is won by it."""
     dark = gray(image) < INK
     height, width = dark.shape
-    for axis, size, across in ((1, width, height), (0, height, width)):
-        full = np.flatnonzero(dark.sum(axis=1 - axis) > across * LINE_SHARE) if axis else np.flatnonzero((gray(image) < INK).sum(axis=1) > across * LINE_SHARE)
-        for at in full[(full < size * OUTER) | (full > size * (1 - OUTER))]:
-            band = slice(max(0, at - LINE_SIDE), at + LINE_SIDE + 1)
-            dark[(slice(None), band) if axis else band] = False
+    columns, rows = dark.sum(axis=0) > height * LINE_SHARE, dark.sum(axis=1) > width * LINE_SHARE
+    for long_, area in ((columns, dark.T), (rows, dark)):
+        n = len(long_)
+        for at in np.flatnonzero(long_):
+            if at < n * OUTER or at > n * (1 - OUTER):
+                area[max(0, at - LINE_SIDE) : at + LINE_SIDE + 1] = False
     ys, xs = np.flatnonzero(dark.any(axis=1)), np.flatnonzero(dark.any(axis=0))
     if not len(xs):
         return 0, 0, width, height

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,15 +31,27 @@ GATE_TEXT, GATE_SPAN, GATE_REPEATS, GATE_SHARE = 960, 120, 8, 0.2
 LTR_TOKEN = r"[A-Za-z0-9]+(?:[._:/%+@-][A-Za-z0-9]+)*"
 
 
+#: Characters that composition may change or join with others.
+COMPOSABLE = r"[\u0300-\x{10ffff}]"
+
+
 @F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no built-in for it."""
+def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition, for which Spark has no function; only texts with characters that may change leave the JVM."""
+    some = text.rlike(COMPOSABLE)
+    return F.coalesce(_nfc(F.when(some, text)), text)
+
+
 def canonical_text(text: Column, compose: bool = False) -> Column:
-    """One form of extracted text: line ends, direction marks, blanks inside lines and at punctuation. compose adds NFC (Arrow)."""
-    c = nfc(text) if compose else text
+    """One form of extracted text: line ends, direction marks, blanks inside lines and at punctuation; null becomes the empty text.
+
+    compose puts canonical composition first; leave it out only inside lambdas, where Arrow functions cannot stand.
+    """
+    c = F.coalesce(nfc(text) if compose else text, F.lit(""))
     for pattern, by in (
         ("\r\n?", "\n"),
         (BIDI_CONTROLS, ""),
@@ -54,8 +67,8 @@ def canonical_text(text: Column, compose: bool = False) -> Column:
     return c
 
 
-def persian_text(text: Column) -> Column:
-    return canonical_text(F.translate(text, ARABIC, PERSIAN))
+def persian_text(text: Column, compose: bool = True) -> Column:
+    return canonical_text(F.translate(text, ARABIC, PERSIAN), compose)
 
 
 def visual_to_logical(text: Column) -> Column:
@@ -87,16 +100,34 @@ def looks_like_caption(text: Column) -> Column:
     return ~text.rlike("[؀-ۿ]") & (words > 0) & (strong | ((words >= 8) & (visual_score(text) >= 4)))
 
 
-@F.pandas_udf(T.LongType())
-def passage_repeats(s: pd.Series) -> pd.Series:
-    """How often the commonest passage of GATE_SPAN characters stands in a text; 0 for texts below GATE_TEXT."""
+def most_repeats(text: str | None) -> int:
+    """How often the commonest passage of GATE_SPAN characters stands in a text; 0 for texts below GATE_TEXT.
+
+    Passages are hashed by doubling, so memory is a few times the text; the commonest is compared as text.
+    """
+    if not text or len(text) < GATE_TEXT:
+        return 0
+    level, span, done, whole = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1), 1, 0, None
+    n = len(level) - GATE_SPAN + 1
+    mix = lambda a, b: (a * np.uint64(0x9E3779B97F4A7C15) ^ (a >> np.uint64(29))) + b * np.uint64(0xBF58476D1CE4E5B9)
+    with np.errstate(over="ignore"):
+        while span <= GATE_SPAN:
+            if GATE_SPAN & span:
+                part = level[done : done + n]
+                whole, done = part if whole is None else mix(whole, part), done + span
+            level, span = mix(level[:-span], level[span:]) if span * 2 <= GATE_SPAN else level, span * 2
+    keys = np.sort(whole)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(starts, n))
+    at = np.flatnonzero(whole == keys[starts[counts.argmax()]])
+    if len({text[i : i + GATE_SPAN] for i in at.tolist()}) == 1:
+        return len(at)
+    return max(Counter(text[i : i + GATE_SPAN] for i in range(n)).values())
 
-    def most(t: str | None) -> int:
-        if not t or len(t) < GATE_TEXT:
-            return 0
-        return max(Counter(t[i : i + GATE_SPAN] for i in range(len(t) - GATE_SPAN + 1)).values())
 
-    return s.map(most)
+@F.pandas_udf(T.LongType())
+def passage_repeats(s: pd.Series) -> pd.Series:
+    return s.map(most_repeats)
 
 
 def quality_verdict(text: Column, repeats: Column) -> Column:

@@ -45,10 +45,10 @@ def inside(lines: DataFrame, boxes: DataFrame, page: list[str], share: float = 0
 
 
 def nearest(items: DataFrame, anchors: DataFrame, page: list[str], item_id: str) -> DataFrame:
-    """The anchor with the nearest top left corner (L1), the first in order on ties."""
+    """The anchor with the nearest top left corner (L1), the first in order on ties; null on a page without anchors."""
     a = anchors.select(*page, F.col("ordinal").alias("anchor"), F.col("x1").alias("ax"), F.col("y1").alias("ay"))
     d = F.abs(F.col("x1") - F.col("ax")) + F.abs(F.col("y1") - F.col("ay"))
-    return items.join(a, page).groupBy(*page, item_id).agg(F.min_by("anchor", F.struct(d, F.col("anchor"))).alias("anchor"))
+    return items.join(a, page, "left").groupBy(*page, item_id).agg(F.min_by("anchor", F.struct(d, F.col("anchor"))).alias("anchor"))
 
 
 def rescued(boxes: DataFrame, figures: DataFrame, page: list[str], confidence: float = 0.8, share: float = 0.75) -> DataFrame:

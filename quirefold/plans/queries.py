@@ -25,9 +25,9 @@ NORM_SQL = (
 )
 
 
-@query("SELECT doc_id, " + NORM_SQL.format(t="text") + " AS canonical FROM documents")
+@query("SELECT doc_id, " + NORM_SQL.format(t="nfc_normalize(coalesce(text, ''))") + " AS canonical FROM documents")
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.canonical_text(F.col("text")).alias("canonical"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.canonical_text(F.col("text"), compose=True).alias("canonical"))
 
 
 @query(f"SELECT doc_id, translate('٠ي' || text || 'ك٩', '{tx.ARABIC}', '{tx.PERSIAN}') AS persian FROM documents")
@@ -138,7 +138,7 @@ def verifier_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.inside(o.where("type IN ('stamp', 'signature')"), boxes, ["doc_id", "page"]).select("doc_id", "page", "ordinal", "box_id")
 
 
-@query(_where(o=OBJECTS) + "SELECT doc_id, page, ordinal, arg_min(anchor, d * 1000 + anchor) AS anchor FROM (SELECT a.doc_id, a.page, a.ordinal, b.ordinal AS anchor, abs(a.x1 - b.x1) + abs(a.y1 - b.y1) AS d FROM o a JOIN o b USING (doc_id, page) WHERE a.type <> 'paragraph' AND b.type = 'paragraph') GROUP BY ALL")
+@query(_where(o=OBJECTS) + "SELECT doc_id, page, ordinal, arg_min(anchor, d * 1000 + anchor) AS anchor FROM (SELECT a.doc_id, a.page, a.ordinal, b.ordinal AS anchor, abs(a.x1 - b.x1) + abs(a.y1 - b.y1) AS d FROM (SELECT * FROM o WHERE type <> 'paragraph') a LEFT JOIN (SELECT * FROM o WHERE type = 'paragraph') b USING (doc_id, page)) GROUP BY ALL")
 def nearest_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = objects(spark, sf_dir)
     return spatial.nearest(o.where("type <> 'paragraph'"), o.where("type = 'paragraph'"), ["doc_id", "page"], "ordinal")

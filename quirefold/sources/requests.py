@@ -109,10 +109,10 @@ def request_verdicts(pages: DataFrame, doc: str, most: int = MOST_PAGES) -> Data
 
 
 def fetched_pages(requests: DataFrame, spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """requests (key, ...) with content and error: not found, empty or too large objects have an error and no content."""
+    """requests (key, ...) with content and error: objects not found, empty (Spark lists none) or too large have an error only."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    marked = found.select(F.regexp_replace("path", "^.*?" + folder.rstrip("/").split(":")[-1].lstrip("/") + "/", "").alias("key"), "length", F.when((F.col("length") > 0) & (F.col("length") <= most_bytes), F.col("content")).alias("content"))
-    error = F.when(F.col("length").isNull(), "not found").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large")
+    marked = found.select(F.regexp_replace("path", "^.*?" + folder.rstrip("/").split(":")[-1].lstrip("/") + "/", "").alias("key"), "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
+    error = F.when(F.col("length").isNull(), "not found or empty").when(F.col("length") > most_bytes, "too large")
     return requests.join(marked, "key", "left").withColumn("error", error).drop("length")
 
 
