@@ -158,7 +158,7 @@ h AS (SELECT v.*, coalesce(accepted, false) AS accepted, marker, coalesce(accept
 f AS (SELECT doc_id, ls, {_FOLD}.o AS o FROM (SELECT doc_id, median(greatest(1.0, y2 - y1)) AS med, list({{'h': hard, 'x1': x1, 'x2': x2, 'y1': y1, 'y2': y2, 'm': 0.0::double, 'g': 0, 'o': []::int[]}} ORDER BY line_no) AS ls FROM h GROUP BY doc_id)),
 g AS (SELECT doc_id, unnest(o) AS paragraph, row_number() OVER (PARTITION BY doc_id) AS rn, generate_subscripts(o, 1) - 1 AS line_no FROM f)
 SELECT doc_id, paragraph::bigint AS paragraph, count(*) AS line_count, md5(coalesce(string_agg({_BODY}, chr(10) ORDER BY line_no) FILTER ({_BODY} <> ''), '')) AS text_md5, md5(string_agg(text, chr(10) ORDER BY line_no)) AS raw_md5,
-  min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(greatest(0.0, least(1.0, sum(confidence * greatest(1.0, (x2 - x1) * (y2 - y1))) / sum(greatest(1.0, (x2 - x1) * (y2 - y1))))), 9) AS confidence FROM h JOIN g USING (doc_id, line_no) GROUP BY doc_id, paragraph"""
+  min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(greatest(0.0, least(1.0, sum(confidence * greatest(1.0, (x2 - x1) * (y2 - y1))) / sum(greatest(1.0, (x2 - x1) * (y2 - y1))))), 6) AS confidence FROM h JOIN g USING (doc_id, line_no) GROUP BY doc_id, paragraph"""
 )
 def paragraph_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -168,4 +168,4 @@ def paragraph_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     x1 = (100 + n % 7 * 60).cast("double")
     placed = _listed(spark, sf_dir).withColumn("y1", y).withColumns({"x1": x1, "x2": x1 + 160, "y2": F.col("y1") + 24 + n % 9, "confidence": n % 100 / 100, "raw_text": F.col("text"), "reading_order": F.lit(None).cast("int")})
     p = par.paragraph_objects(placed, ["doc_id"])
-    return p.select("doc_id", "paragraph", "line_count", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.md5(F.col("raw_text").cast("binary")).alias("raw_md5"), "x1", "y1", "x2", "y2", F.round("confidence", 9).alias("confidence"))
+    return p.select("doc_id", "paragraph", "line_count", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.md5(F.col("raw_text").cast("binary")).alias("raw_md5"), "x1", "y1", "x2", "y2", F.round("confidence", 6).alias("confidence"))

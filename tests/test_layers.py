@@ -45,7 +45,7 @@ def test_artifacts_go_and_words_stay(spark, given, want):
 
 
 def test_plain_responses(spark):
-    got = one(spark, model_text.plain_response(F.col("t")), t="*<|im_end|> # Head\n```\n* a\n+ b\n```\n**bold** x<br/>y\n\n\n\n\\**\nend</im_end>")
+    got = one(spark, model_text.plain_response(F.col("t")), t="*<|im_end|> # Head\n```\n* a\n+ b\n```\n**bold** x<br/>y\n\n\n\n\\*\nend</im_end>")
     assert got.startswith("Head\n") and "- a\n- b" in got and "bold x\ny" in got and got.endswith("\nend") and not {"`", "*", "#", "\\"} & set(got) and "\n\n\n" not in got
 
 
