@@ -2,7 +2,7 @@
 
 Texts become sets of five-word grams; rows with equal sets are one set from the start. Each set keeps its 64 least gram
 hashes as a sample. In every run a set walks down the paths of the few sampled grams that the run chooses; sets on one path
-share those grams. Small buckets are compared all against all. A large bucket is compared with its leader; sets much like
+share those grams. Small buckets are compared all against all, but for pairs whose sizes alone rule the threshold out. A large bucket is compared with its leader; sets much like
 the leader leave it, and the rest is split on grams it does not share with the leader, so that a passage common to the
 bucket does not hold it together. Buckets within one component of the links found so far have nothing to add and end. Runs
 repeat until the target recall is met.
@@ -141,15 +141,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Loosely checked links (a, b) between sets (sid, sample); holds every pair at the threshold with about probability `recall`."""
+    """Loosely checked links (a, b) between sets (sid, sample, n if known); holds every pair at the threshold with about probability `recall`.
+
+    Sets of a small bucket are paired in order of size, each with those whose size is at most its own / THRESHOLD: beyond
+    that even a set that holds the other is less alike, so no link is lost. Where n is not given, the sample's size bounds it.
+    """
     runs, loose = runs_for(recall), loose_share(recall)
     within = lambda h, of: F.pmod(h, F.lit(1 << 20)) * of < F.lit(1 << 20)
     first = F.flatten(
         F.array(*[F.transform(F.filter("sample", lambda t: within(F.xxhash64(t, F.lit(r)), F.size("sample") * THRESHOLD)), lambda t: F.xxhash64(t, F.lit(r), F.lit(0))) for r in range(runs)])
     )
-    rows = stage(sets.select("sid", F.explode(first).alias("path")), "paths")
+    size = (F.col("n").cast("int") if "n" in sets.columns else F.size("sample")).alias("size")
+    rows = stage(sets.select("sid", size, F.explode(first).alias("path")), "paths")
     halved = lambda xs: F.transform(xs, lambda t: F.shiftright(t, 32).cast("int"))
-    whole = sets.select("sid", halved("sample").alias("s"))
+    whole = sets.select("sid", size, halved("sample").alias("s"))
     used, pairs, edges = [], None, None
     for level in range(depth):
         label = "label" if level else "sid"
@@ -158,8 +163,9 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         full = stage(rows.join(sizes, "path"), "full")
         unstage(rows)
         used.append(full)
-        lists = full.where(F.col("m") <= small).groupBy("path").agg(F.array_sort(F.collect_set("sid")).alias("r"))
-        halves = lists.select("r", F.posexplode("r").alias("i", "a")).select("a", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("b"))
+        lists = full.where(F.col("m") <= small).groupBy("path").agg(F.array_sort(F.collect_set(F.struct("size", "sid"))).alias("r"))
+        partners = F.filter(F.slice("r", F.col("i") + 2, F.size("r")), lambda x: x["size"] * F.lit(THRESHOLD) <= F.col("x.size") + 1e-6)
+        halves = lists.select("r", F.posexplode("r").alias("i", "x")).select(F.col("x.sid").alias("a"), F.explode(partners).alias("y")).select("a", F.col("y.sid").alias("b"))
         pairs = halves if pairs is None else pairs.unionByName(halves)
         large = full.where((F.col("m") > small) & (F.col("sid") != F.col("leader")))
         if not large.limit(1).count():
@@ -170,13 +176,13 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         led = large.groupBy("leader").agg(F.max(heat).alias("copies")).join(whole.select(F.col("sid").alias("leader"), F.col("s").alias("ls")), "leader")
         led = led.select("leader", "ls", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
         asked = large.groupBy("sid", "leader").agg(F.max(heat).alias("copies"), F.count(F.lit(1)).alias("paths")).join(whole, "sid")
-        asked = asked.select("leader", "sid", "s", "paths", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int").alias("salt"))
-        met = asked.join(led, ["leader", "salt"]).select("leader", "sid", "paths", F.array_except("s", "ls").alias("own"), F.size("s").alias("n"), F.size("ls").alias("ln"))
+        asked = asked.select("leader", "sid", "size", "s", "paths", F.pmod(F.xxhash64("sid"), F.col("copies")).cast("int").alias("salt"))
+        met = asked.join(led, ["leader", "salt"]).select("leader", "sid", "size", "paths", F.array_except("s", "ls").alias("own"), F.size("s").alias("n"), F.size("ls").alias("ln"))
         share = (F.col("n") - F.size("own")) / F.least("n", "ln")
         # sets that stay in the bucket go on along grams that the leader does not hold
         chosen = F.filter("own", lambda t: within(F.xxhash64(t, F.col("leader")), F.size("own") / steps(share, F.col("paths"), runs, loose)))
         on = F.when(share < ABSORB, F.transform(chosen, lambda t: F.xxhash64(t, F.col("leader"))))
-        met = stage(met.select("leader", "sid", share.alias("share"), on.alias("next")), "met")
+        met = stage(met.select("leader", "sid", "size", share.alias("share"), on.alias("next")), "met")
         used.append(met)
         last = level == depth - 1  # all that is left is linked with its leader; no paths follow
         close = met.where(F.col("share") >= (0.0 if last else loose)).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
@@ -184,8 +190,8 @@ def candidate_edges(sets: DataFrame, recall: float = RECALL, small: int = SMALL,
         if last:
             break
         labels = components(edges)
-        rows = met.select("sid", F.explode("next").alias("path")).join(labels, F.col("sid") == F.col("node"), "left")
-        rows = stage(rows.select("sid", "path", F.coalesce("comp", "sid").alias("label")), "paths")
+        rows = met.select("sid", "size", F.explode("next").alias("path")).join(labels, F.col("sid") == F.col("node"), "left")
+        rows = stage(rows.select("sid", "size", "path", F.coalesce("comp", "sid").alias("label")), "paths")
     pairs = pairs.distinct()
     with_a = pairs.join(whole.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(whole.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
@@ -373,7 +379,7 @@ def near_duplicate_rows(docs: DataFrame, k: int = GRAM, threshold: float = THRES
     rows = stage(sketches(named, k).withColumn("sid", set_id()), "sketches")
     sets = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sample").alias("sample"), F.min(F.struct("doc_id", "rk")).alias("lead"))
     sets = stage(sets, "sets")
-    edges = candidate_edges(sets.select("sid", "sample"), recall)
+    edges = candidate_edges(sets.select("sid", "n", "sample"), recall)
     members = components(edges).withColumnRenamed("node", "sid").join(sets.select("sid", "n", "doc_id"), "sid")
     links = stage(verified_links(named, stage(members, "members"), k, threshold), "links")
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
