@@ -198,7 +198,8 @@ class PiiModel:
 def train_pii(rows: DataFrame) -> PiiModel:
     """Fits on the candidates of half of annotate()d texts and calibrates on the other half, by a hash of the text; at most
     2 * 2^features counts come to the driver. Without candidates in either half nothing is added."""
-    half = rows.select(F.explode("_c").alias("c"), F.pmod(F.xxhash64("_t"), F.lit(2)).alias("half"))
+    # explode() would have the optimizer filter by the size of _c first, thus match every text twice
+    half = rows.select(F.explode_outer("_c").alias("c"), F.pmod(F.xxhash64("_t"), F.lit(2)).alias("half")).where("c IS NOT NULL")
     found = half.groupBy("c.bits", "half").agg(F.count_if("c.weak").alias("y"), F.count_if(~F.col("c.weak")).alias("n")).collect()
     fit, held = (sorted((r["bits"], float(r["y"]), float(r["n"])) for r in found if r["half"] == h) for h in (0, 1))
     if not fit or not held:
