@@ -1,13 +1,17 @@
-"""Katz backoff language model: Good-Turing discounted bigram and word counts, exactly normalised backoff weights.
-
-Texts are staged in chunks of about four megabytes, a row each, so that no file split cuts one. A chunk asks for its distinct words and bigrams, once each, as packed
-and sorted hashes; the tables of counts are partitioned by the leading bits of the hash, so a hot word is one key of each
-chunk like any other. A partition sums the training counts and answers every chunk in the order it asked. Chunks then
-score their documents; of each bigram one chunk, its owner, adds to the sums from which the history's backoff weight
-follows. Tokens whose bigram was never seen wait for that weight and are joined with it by history.
-
-P(w|h) = d c(hw)/c(h) if c(hw) > 0, else alpha(h) P(w); P(w) = d c(w)/N, and what is left over for words never seen.
-d: Good-Turing with Katz's correction for counts to 5, and (c - 1/2)/c above, so that every history keeps some mass.
+"""Katz backoff language model: Good-Turing discounted n-gram counts, exactly normalised backoff weights, any order.
+
+Texts are staged in chunks of about four megabytes, a row each, so that no file split cuts one. A chunk asks for its distinct
+n-grams of each length, once each, as packed and sorted hashes; the tables of counts are partitioned by the leading bits of
+the hash, so a hot word is one key of each chunk like any other. A partition sums the training counts and answers every
+chunk in the order it asked, with whether texts not learned from hold the n-gram too. Chunks then score their documents,
+from single words up; of each n-gram one chunk, its owner, adds to the sums from which the backoff weight of its context
+follows, if a text not learned from holds that context (all others are never backed off from). Tokens whose n-gram was
+never seen wait for that weight, once per length they step down, and are joined with it by context.
+
+P(w|uv) = d c(uvw)/c(uv) if c(uvw) > 0, else alpha(uv) P(w|v), with alpha = 1 where uv was never seen; so down to
+P(w) = d c(w)/N, and what is left over for words never seen. A text's first token has the start as its only context, the
+second the start and the first, and so on. d: Good-Turing with Katz's correction for counts to 5, and (c - 1/2)/c above, so
+that every context keeps some mass.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import Words, by_size, combine, crc_mod, mix64, scratch_root, stage, text_buffers
 
 KATZ_K = 5
+ORDER = 3
 TAIL = 0.5
 KEY_BYTES = 7
 CHUNK_BYTES = 4 << 20
@@ -34,9 +39,14 @@ _END, _START = (_U(mix64(np.array([x]))[0]) for x in (101, 102))
 
 
 class Grams:
-    """Tokens of a chunk: distinct words and bigrams (sorted 56-bit keys), and where each token's are among them."""
+    """Distinct n-grams of a chunk by length (sorted 56-bit keys), how often they are learned, and where each token's are among them.
+
+    Lists go by length less one. keys, n (times learned), held (in a text not learned from); at: the first token that ends
+    one; index: each token's, -1 where its text has too few tokens before it. For lengths from two on: context, the place
+    among the keys one shorter of all but the last token; lower, of all but the first; hash, the context's 64-bit hash.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, train: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, train: np.ndarray, order: int = ORDER):
         w = Words(data, offsets, "space_lower")
         n = len(offsets) - 1
         self.n_docs, counts = n, w.counts
@@ -46,19 +56,34 @@ class Grams:
         is_word[first + counts] = False
         token[is_word] = w.hashes
         self.doc = np.repeat(np.arange(n), counts + 1)
-        history = np.empty_like(token)
-        history[1:] = token[:-1]
-        history[first] = _START
+        place = np.arange(len(token)) - first[self.doc]
+        on = train[self.doc]
         shift = _U(64 - 8 * KEY_BYTES)
-        self.words, self.word = np.unique(token >> shift, return_inverse=True)
-        self.pairs, at, self.pair = np.unique(combine(history, token) >> shift, return_index=True, return_inverse=True)
-        self.pair_word, self.pair_history = self.word[at], history[at]
-        known = np.searchsorted(self.words, history[at] >> shift)
-        end = int(np.searchsorted(self.words, _END >> shift))
-        self.pair_history_word = np.where(history[at] == _START, end, np.minimum(known, max(len(self.words) - 1, 0)))  # as often as the end
-        on = train[self.doc].astype(float)
-        self.word_n = np.bincount(self.word, weights=on, minlength=len(self.words)).astype(np.int64)
-        self.pair_n = np.bincount(self.pair, weights=on, minlength=len(self.pairs)).astype(np.int64)
+        self.keys, self.n, self.held, self.at, self.index, self.context, self.lower, self.hash = ([] for _ in range(8))
+        gram = token
+        for k in range(order):
+            rows = np.arange(len(token)) if k < 2 else np.flatnonzero(place >= k - 1)
+            history = None
+            if k:
+                history = np.empty_like(token)
+                history[1:] = gram[:-1]
+                if k == 1:
+                    history[first] = _START
+                gram = combine(history, token)
+            keys, at, inverse = np.unique(gram[rows] >> shift, return_index=True, return_inverse=True)
+            at = rows[at]
+            index = np.full(len(token), -1, dtype=np.int64)
+            index[rows] = inverse
+            weight = np.bincount(inverse, weights=on[rows], minlength=len(keys)).astype(np.int64)
+            held = np.bincount(inverse, weights=~on[rows], minlength=len(keys)) > 0
+            if k == 1:
+                end = np.searchsorted(keys_below := self.keys[0], _END >> shift)  # the start stands as often as the end
+                context = np.where(place[at] == 0, min(int(end), max(len(keys_below) - 1, 0)), self.index[0][at - 1])
+            else:
+                context = self.index[k - 1][at - 1] if k else None
+            lists = (self.keys, self.n, self.held, self.at, self.index, self.context, self.lower, self.hash)
+            for to, x in zip(lists, (keys, weight, held, at, index, context, self.index[k - 1][at] if k else None, history[at] if k else None), strict=True):
+                to.append(x)
 
 
 def _pack(x: np.ndarray, width: int) -> bytes:
@@ -78,6 +103,11 @@ def _parts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(keys >> _U(8 * KEY_BYTES - bits), np.arange((1 << bits) + 1, dtype=_U))
 
 
+def _steps(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Sorted keys of one partition as steps, which have fewer bytes."""
+    return np.diff(keys, prepend=keys[:1] >> _U(8 * KEY_BYTES - bits) << _U(8 * KEY_BYTES - bits))
+
+
 def discounts(n: np.ndarray, k: int = KATZ_K) -> np.ndarray:
     """d for counts 0..k from counts of counts n[1..k+1]; absolute discount where Good-Turing gives none between 0 and 1."""
     d = np.array([0.0] + [(c - TAIL) / c for c in range(1, k + 1)])
@@ -96,19 +126,24 @@ def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class KatzModel:
-    """The corpus-wide numbers: N, V, discounts, and the mass of words never seen."""
+    """The corpus-wide numbers: N, V, discounts by length, and the mass of words never seen."""
 
     def __init__(self, stats: np.ndarray):
-        """stats: N, V, then counts of counts 1..6 of words and of bigrams."""
+        """stats: N, V, then counts of counts 1..6 of words, of bigrams, and so on."""
         self.n, self.v = float(stats[0]), float(stats[1])
-        uni, bi = np.concatenate([[0.0], stats[2:8]]), np.concatenate([[0.0], stats[8:14]])
-        self.du, self.db = discounts(uni), discounts(bi)
+        of = [np.concatenate([[0.0], x]) for x in np.asarray(stats[2:], dtype=float).reshape(-1, KATZ_K + 1)]
+        self.d = [discounts(x) for x in of]
         low = np.arange(1, KATZ_K + 1)
-        taken = float((self.du[1:] * low * uni[1 : KATZ_K + 1]).sum() + (self.n - (low * uni[1 : KATZ_K + 1]).sum()) - TAIL * (self.v - uni[1 : KATZ_K + 1].sum()))
+        few = of[0][1 : KATZ_K + 1]
+        taken = float((self.d[0][1:] * low * few).sum() + (self.n - (low * few).sum()) - TAIL * (self.v - few.sum()))
         self.unknown = (self.n - taken) / self.n if self.n else 1.0
 
     def word(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, _discounted(c, self.du) / max(self.n, 1.0), self.unknown)
+        return np.where(c > 0, _discounted(c, self.d[0]) / max(self.n, 1.0), self.unknown)
+
+    def left(self, c: np.ndarray, k: int) -> np.ndarray:
+        """What the discount takes from counts of n-grams of length k + 1."""
+        return c - _discounted(c, self.d[k])
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
@@ -118,10 +153,10 @@ CHUNK_SCHEMA = "chunk long, doc_id array<long>, text array<string>, train array<
 DOC_SCHEMA = "kind int, rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, h long, num double, den double"
 
 
-def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2)) -> DataFrame:
+def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int = ORDER) -> DataFrame:
     """One row per input row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10.
 
-    Learns from rows whose crc32(doc_id) modulo train_mod[0] is not train_mod[1]; a row without a doc_id is not learned
+    order is the longest n-gram's length, 1 or more. Learns from rows whose crc32(doc_id) modulo train_mod[0] is not train_mod[1]; a row without a doc_id is not learned
     from. Null and empty texts are the end token alone. Repeated rows each count and each get their row. Without training
     rows all words are unknown, with probability 1.
     """
@@ -147,62 +182,74 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2)) -> DataFra
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                g = Grams(*text_buffers(b.column(1).slice(i, 1).flatten()), b.column(2).slice(i, 1).flatten().to_numpy(zero_copy_only=False))
+                g = Grams(*text_buffers(b.column(1).slice(i, 1).flatten()), b.column(2).slice(i, 1).flatten().to_numpy(zero_copy_only=False), order)
                 out = []
-                for kind, keys, n in ((0, g.words, g.word_n), (1, g.pairs, g.pair_n)):
+                for kind, (keys, n, other) in enumerate(zip(g.keys, g.n, g.held, strict=True)):
                     at = _parts(keys, bits)
-                    out += [(p, kind, b.column(0)[i].as_py(), _pack(keys[at[p] : at[p + 1]], KEY_BYTES), _pack(n[at[p] : at[p + 1]], 5)) for p in np.flatnonzero(at[1:] > at[:-1]).tolist()]
+                    said = n << 1 | other
+                    out += [(p, kind, b.column(0)[i].as_py(), _pack(_steps(keys[at[p] : at[p + 1]], bits), KEY_BYTES), _pack(said[at[p] : at[p + 1]], 5)) for p in np.flatnonzero(at[1:] > at[:-1]).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "kind", "chunk", "keys", "n"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, part = int(pdf["kind"].iloc[0]), int(pdf["part"].iloc[0])
         pdf = pdf.sort_values("chunk").reset_index(drop=True)
-        keys = [_unpack(k, KEY_BYTES) for k in pdf["keys"]]
+        keys = [np.cumsum(_unpack(k, KEY_BYTES)) for k in pdf["keys"]]
         n = np.concatenate([_unpack(x, 5) for x in pdf["n"]]).astype(np.int64)
+        n, other = n >> 1, (n & 1) == 1
         ends = np.cumsum([len(k) for k in keys])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(int(inverse.max()) + 1, dtype=np.int64)
         np.add.at(total, inverse, n)
+        held = np.zeros(len(total), dtype=bool)
+        held[inverse[other]] = True
         owner = np.zeros(len(inverse), dtype=bool)
         trained = np.flatnonzero(n > 0)
         owner[trained[np.unique(inverse[trained], return_index=True)[1]]] = True
-        said = (total[inverse] << 1) | owner
-        blobs = [_pack(x, 6) for x in np.split(said, ends[:-1])]
+        told = total[inverse] << 2 | held[inverse].astype(np.int64) << 1 | owner
+        blobs = [_pack(x, 6) for x in np.split(told, ends[:-1])]
         of = np.bincount(np.minimum(total, KATZ_K + 2), minlength=KATZ_K + 3)[1 : KATZ_K + 2].astype(float)
-        none = [0.0] * (KATZ_K + 1)
-        stats = [float(total.sum()), float((total > 0).sum()), *of, *none] if kind == 0 else [0.0, 0.0, *none, *of]
+        stats = np.zeros((order, KATZ_K + 1))
+        stats[kind] = of
+        stats = [float(total.sum()) if kind == 0 else 0.0, float((total > 0).sum()) if kind == 0 else 0.0, *stats.ravel().tolist()]
         return pd.DataFrame({"chunk": [*pdf["chunk"], -1], "part": part, "kind": kind, "said": [*blobs, None], "stats": [*[None] * len(blobs), stats]})
 
     asked = chunks.select("chunk", "text", "train").mapInArrow(ask, "part int, kind int, chunk long, keys binary, n binary")
     answers = stage(asked.groupBy("part", "kind").applyInPandas(answer, "chunk long, part int, kind int, said binary, stats array<double>"), "answers")
-    sums = answers.where("stats IS NOT NULL").select(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(2 + 2 * (KATZ_K + 1))])
-    sums = sums.select(*[f"s{i}" for i in range(2 + 2 * (KATZ_K + 1))]).first()
+    sums = answers.where("stats IS NOT NULL").select(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(2 + order * (KATZ_K + 1))]).first()
     model = KatzModel(np.array([x or 0.0 for x in sums]))
 
     def score(texts: pa.Table, said: pa.Table) -> pa.Table:
         row = texts.combine_chunks().to_batches()[0]  # a chunk is one row
         ids, whole, learnt = (row.column(row.schema.get_field_index(c)).flatten() for c in ("doc_id", "text", "train"))
-        g = Grams(*text_buffers(whole), learnt.to_numpy(zero_copy_only=False))
+        g = Grams(*text_buffers(whole), learnt.to_numpy(zero_copy_only=False), order)
         said = said.sort_by([("kind", "ascending"), ("part", "ascending")])
         kind = said.column("kind").to_numpy()
-        got = [np.concatenate([_unpack(b.as_py(), 6) for b, k in zip(said.column("said"), kind, strict=True) if k == want]).astype(np.int64) for want in (0, 1)]
-        c_word, c_pair, owned = got[0] >> 1, got[1] >> 1, (got[1] & 1) == 1
-        c_history = c_word[g.pair_history_word] * (g.words[g.pair_history_word] == np.where(g.pair_history == _START, _END, g.pair_history) >> _U(64 - 8 * KEY_BYTES))
-        p_word = model.word(c_word)
-        seen = c_pair > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(seen, np.log10(_discounted(c_pair, model.db) / np.maximum(c_history, 1)), np.log10(p_word[g.pair_word]))
-        sum_by = lambda x: np.bincount(g.doc, weights=x, minlength=g.n_docs)
+        got = [np.concatenate([_unpack(b.as_py(), 6) for b, k in zip(said.column("said"), kind, strict=True) if k == want] or [np.empty(0, dtype=_U)]).astype(np.int64) for want in range(order)]
+        count = [x >> 2 for x in got]
         n = g.n_docs
         rid = (int(row.column(row.schema.get_field_index("chunk"))[0].as_py()) << 20) + np.arange(n) if n else np.empty(0, dtype=np.int64)
-        waits = (~seen & (c_history > 0))[g.pair]
-        slot, times = np.unique(np.stack([g.doc[waits], g.pair_history[g.pair[waits]].view(np.int64)]), axis=1, return_counts=True) if waits.any() else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-        own = np.flatnonzero(owned)
-        h, back = np.unique(g.pair_history[own].view(np.int64), return_inverse=True)
-        num = np.bincount(back, weights=(c_pair[own] - _discounted(c_pair[own], model.db)) / np.maximum(c_history[own], 1), minlength=len(h))
-        den = np.bincount(back, weights=p_word[g.pair_word[own]], minlength=len(h))
+        p = model.word(count[0])  # of distinct n-grams, as if no weight were due
+        value = np.log10(p)[g.index[0]]  # of tokens
+        sums, waits = [], []
+        for k in range(1, order):
+            around, seen = count[k - 1][g.context[k]], count[k] > 0
+            below, p = p[g.lower[k]], np.where(seen, _discounted(count[k], model.d[k]) / np.maximum(around, 1), p[g.lower[k]])
+            own = np.flatnonzero(((got[k] & 1) == 1) & ((got[k - 1][g.context[k]] & 2) == 2))
+            h, back = np.unique(g.hash[k][own].view(np.int64), return_inverse=True)
+            num = np.bincount(back, weights=model.left(count[k][own], k) / around[own], minlength=len(h))
+            sums.append((h, num, np.bincount(back, weights=below[own], minlength=len(h))))
+            tokens = np.flatnonzero(g.index[k] >= 0)
+            j = g.index[k][tokens]
+            value[tokens] = np.log10(p)[j]
+            waits = [x[~np.append(seen, False)[g.index[k][x]]] for x in waits]  # a longer n-gram that was seen stands alone
+            waits.append(tokens[(~seen & (around > 0))[j]])
+        due = [np.stack([g.doc[x], g.hash[k][g.index[k][x]].view(np.int64)]) for k, x in enumerate(waits, 1)]
+        slot, times = np.unique(np.concatenate([np.zeros((2, 0), dtype=np.int64), *due], axis=1), axis=1, return_counts=True) if sum(map(len, waits)) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
+        h, num, den = (np.concatenate([np.empty(0, dtype=t), *(x[i] for x in sums)]) for i, t in enumerate((np.int64, float, float)))
+        sum_by = lambda x: np.bincount(g.doc, weights=x, minlength=n)
+        c = count[0][g.index[0]]
         tables = [
-            {"kind": np.zeros(n, dtype=np.int32), "rid": rid, "doc_id": ids, "n_tokens": sum_by(np.ones(len(g.doc))).astype(np.int64), "n_known": sum_by(c_word[g.word] > 0).astype(np.int64), "base_score": sum_by(model.base(c_word)[g.word]), "score": sum_by(value[g.pair])},
+            {"kind": np.zeros(n, dtype=np.int32), "rid": rid, "doc_id": ids, "n_tokens": sum_by(np.ones(len(g.doc))).astype(np.int64), "n_known": sum_by(c > 0).astype(np.int64), "base_score": sum_by(model.base(c)), "score": sum_by(value)},
             {"kind": np.ones(len(h), dtype=np.int32), "h": h, "num": num, "den": den},
             {"kind": np.full(len(times), 2, dtype=np.int32), "rid": rid[slot[0]], "h": slot[1], "num": times.astype(float)},
         ]

@@ -306,31 +306,51 @@ def test_contained_copies_are_candidates_with_the_stated_recall(spark):
     assert jaccard_join.missed(jaccard_join.runs_for(0.9999), jaccard_join.loose_share(0.9999)) <= 1e-4
 
 
-def test_katz_is_normalised_and_adds_up(spark, sf_dir):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_is_normalised_and_adds_up(spark, sf_dir, order):
     import math
 
     d, rows = docs_of(spark, sf_dir)
     texts = {r["doc_id"]: [*SPACED.findall((r["text"] or "").translate(LOWER)), "</s>"] for r in rows}
     train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni = collections.Counter(w for i in train for w in texts[i])
-    bi = collections.Counter(p for i in train for p in zip(["<s>", *texts[i]], texts[i], strict=False))
-    after = collections.defaultdict(set)
-    for h, w in bi:
-        after[h].add(w)
-    stats = [sum(uni.values()), len(uni), *[sum(v == k for v in uni.values()) for k in range(1, 7)], *[sum(v == k for v in bi.values()) for k in range(1, 7)]]
+    count = [collections.Counter() for _ in range(order)]
+    for i in train:
+        t = ["<s>", *texts[i]]
+        for k in range(order):
+            count[k].update(tuple(t[j - k : j + 1]) for j in range(max(k, 1), len(t)))
+    total = sum(count[0].values())
+    stats = [total, len(count[0]), *[sum(v == c for v in n.values()) for n in count for c in range(1, 7)]]
     m = katz.KatzModel(np.array(stats, dtype=float))
-    cut = lambda c, dd: dd[c] * c if c < len(dd) else c - katz.TAIL
-    p1 = lambda w: cut(uni[w], m.du) / stats[0] if uni[w] else m.unknown
-    n_h = lambda h: uni["</s>"] if h == "<s>" else uni[h]
-    alpha = {h: sum(bi[h, w] - cut(bi[h, w], m.db) for w in ws) / n_h(h) / (1 - sum(p1(w) for w in ws)) for h, ws in after.items()}
-    some = "<s>"
-    whole = sum(cut(bi[some, w], m.db) / n_h(some) for w in after[some]) + alpha[some] * (sum(p1(w) for w in uni if w not in after[some]) + m.unknown)
-    assert abs(whole - 1) < 1e-9
-    for r in katz.katz_scores(d).collect():
-        t = texts[r["doc_id"]]
-        s = sum(math.log10(cut(bi[h, w], m.db) / n_h(h) if bi[h, w] else alpha.get(h, 1.0) * p1(w)) for h, w in zip(["<s>", *t], t, strict=False))
-        b = sum(math.log10((uni[w] + 1) / (stats[0] + stats[1] + 1)) for w in t)
-        assert r["n_tokens"] == len(t) and r["n_known"] == sum(uni[w] > 0 for w in t) and r["train_tokens"] == stats[0]
+    left = lambda c, k: (m.d[k][c] * c if c < len(m.d[k]) else c - katz.TAIL)
+    n_of = lambda g: count[0][("</s>",)] if g == ("<s>",) else count[len(g) - 1][g]
+    after = collections.defaultdict(list)
+    for n in count[1:]:
+        for g in n:
+            after[g[:-1]].append(g[-1])
+    weights = {}
+
+    def p(g):
+        k = len(g) - 1
+        if k == 0:
+            return left(count[0][g], 0) / total if count[0][g] else m.unknown
+        if count[k][g]:
+            return left(count[k][g], k) / n_of(g[:-1])
+        return alpha(g[:-1]) * p(g[1:])
+
+    def alpha(h):
+        if h not in weights:
+            ws = after[h]
+            weights[h] = sum(count[len(h)][(*h, w)] - left(count[len(h)][(*h, w)], len(h)) for w in ws) / n_of(h) / (1 - sum(p((*h[1:], w)) for w in ws)) if n_of(h) else 1.0
+        return weights[h]
+
+    for h in [("<s>",), *[g for g in list(after) if len(g) == order - 1][:3]] if order > 1 else [()]:
+        whole = sum(p((*h, w[0])) for w in count[0]) + p((*h, "never seen"))
+        assert abs(whole - 1) < 1e-9
+    for r in katz.katz_scores(d, order=order).collect():
+        t = ["<s>", *texts[r["doc_id"]]]
+        s = sum(math.log10(p(tuple(t[max(0, j - order + 1) : j + 1] if order > 1 else t[j : j + 1]))) for j in range(1, len(t)))
+        b = sum(math.log10((count[0][w,] + 1) / (total + len(count[0]) + 1)) for w in t[1:])
+        assert r["n_tokens"] == len(t) - 1 and r["n_known"] == sum(count[0][w,] > 0 for w in t[1:]) and r["train_tokens"] == total
         assert abs(r["score"] - s) < 1e-6 * max(1, abs(s)) and abs(r["base_score"] - b) < 1e-6 * max(1, abs(b))
 
 
@@ -353,6 +373,16 @@ def test_katz_scores_do_not_depend_on_file_splits(spark, monkeypatch):
         assert abs(got[i]["score"] - w["score"]) < 1e-6 * max(1, abs(w["score"]))
 
 
+def test_katz_chunks_of_one_empty_text(spark, monkeypatch):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = spark.createDataFrame([(i, None if i in held[:2] else "a b a c" if i % 2 else "b") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, katz.katz_scores(docs).collect()))
+    monkeypatch.setattr(katz, "CHUNK_BYTES", 1)
+    got = sorted(map(tuple, katz.katz_scores(docs.repartition(3)).collect()))
+    assert [r[:5] for r in got] == [r[:5] for r in want] and all(abs(g[6] - w[6]) < 1e-9 for g, w in zip(got, want, strict=True))
+    assert sum(r[1] for r in got) == len(held)
+
+
 @pytest.mark.parametrize("how", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
 @pytest.mark.parametrize("tile", [0, 16])
 @pytest.mark.parametrize("predictor", [1, 2])
