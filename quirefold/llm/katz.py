@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_size, combine, crc_mod, mix64, scratch_root, stage, text_buffers
+from .common import Words, by_size, combine, crc_mod, mix64, scratch_root, text_buffers
 
 KATZ_K = 5
 ORDER = 3
@@ -38,10 +38,21 @@ _U = np.uint64
 _END, _START = (_U(mix64(np.array([x]))[0]) for x in (101, 102))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and where each element is among them; any place will do, so no stable sort."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    inverse = np.empty(len(x), dtype=np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], order[new], inverse
+
+
 class Grams:
     """Distinct n-grams of a chunk by length (sorted 56-bit keys), how often they are learned, and where each token's are among them.
 
-    Lists go by length less one. keys, n (times learned), held (in a text not learned from); at: the first token that ends
+    Lists go by length less one. keys, n (times learned), held (in a text not learned from); at: a token that ends
     one; index: each token's, -1 where its text has too few tokens before it. For lengths from two on: context, the place
     among the keys one shorter of all but the last token; lower, of all but the first; hash, the context's 64-bit hash.
     """
@@ -55,8 +66,8 @@ class Grams:
         is_word = np.ones(len(token), dtype=bool)
         is_word[first + counts] = False
         token[is_word] = w.hashes
-        self.doc = np.repeat(np.arange(n), counts + 1)
-        place = np.arange(len(token)) - first[self.doc]
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), counts + 1)
+        place = np.arange(len(token), dtype=np.int32) - first.astype(np.int32)[self.doc]
         on = train[self.doc]
         shift = _U(64 - 8 * KEY_BYTES)
         self.keys, self.n, self.held, self.at, self.index, self.context, self.lower, self.hash = ([] for _ in range(8))
@@ -70,9 +81,9 @@ class Grams:
                 if k == 1:
                     history[first] = _START
                 gram = combine(history, token)
-            keys, at, inverse = np.unique(gram[rows] >> shift, return_index=True, return_inverse=True)
+            keys, at, inverse = _distinct(gram[rows] >> shift)
             at = rows[at]
-            index = np.full(len(token), -1, dtype=np.int64)
+            index = np.full(len(token), -1, dtype=np.int32)
             index[rows] = inverse
             weight = np.bincount(inverse, weights=on[rows], minlength=len(keys)).astype(np.int64)
             held = np.bincount(inverse, weights=~on[rows], minlength=len(keys)) > 0
@@ -141,16 +152,26 @@ class KatzModel:
     def word(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, _discounted(c, self.d[0]) / max(self.n, 1.0), self.unknown)
 
-    def left(self, c: np.ndarray, k: int) -> np.ndarray:
-        """What the discount takes from counts of n-grams of length k + 1."""
-        return c - _discounted(c, self.d[k])
-
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
 
-CHUNK_SCHEMA = "chunk long, doc_id array<long>, text array<string>, train array<boolean>, size long"
-DOC_SCHEMA = "kind int, rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, h long, num double, den double"
+def _squeezed(batch: pa.RecordBatch) -> bytes:
+    """A batch as a compressed Arrow stream, so that every exchange carries it so."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(blob: pa.BinaryScalar, order: int) -> tuple[pa.Array, Grams]:
+    """The ids and the n-grams of a chunk."""
+    ids, text, train = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks().to_batches()[0].columns
+    return ids, Grams(*text_buffers(text), train.to_numpy(zero_copy_only=False), order)
+
+
+CHUNK_SCHEMA = "chunk long, docs binary, size long"
+DOC_SCHEMA = "kind int, rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, h long, times long, a double, b double"
 
 
 def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int = ORDER) -> DataFrame:
@@ -167,14 +188,13 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 24, 0
         for b in by_size(batches, most=CHUNK_BYTES):
-            one = pa.array([0, b.num_rows], pa.int32())
-            lists = [pa.ListArray.from_arrays(one, c) for c in (b.column(0).cast(pa.int64()), b.column(1).fill_null("").cast(pa.string()), b.column(2))]
+            docs = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).fill_null("").cast(pa.large_string()), b.column(2)], ["doc_id", "text", "train"])
             size = int(text_buffers(b.column(1))[1][-1])
-            yield pa.RecordBatch.from_arrays([pa.array([base | k]), *lists, pa.array([size])], ["chunk", "doc_id", "text", "train", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([base | k]), pa.array([_squeezed(docs)], pa.binary()), pa.array([size])], ["chunk", "docs", "size"])
             k += 1
 
     path = f"{scratch_root(spark)}/chunks-{uuid.uuid4().hex}"
-    docs.select("doc_id", "text", train.alias("train")).mapInArrow(cut, CHUNK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    docs.select("doc_id", "text", train.alias("train")).mapInArrow(cut, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
     size = chunks.agg(F.sum("size")).first()[0] or 0
     bits = max(4, min(24, math.ceil(math.log2(max(1, size / (8 << 20))))))
@@ -182,22 +202,22 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                g = Grams(*text_buffers(b.column(1).slice(i, 1).flatten()), b.column(2).slice(i, 1).flatten().to_numpy(zero_copy_only=False), order)
+                _, g = _rows(b.column(1)[i], order)
                 out = []
                 for kind, (keys, n, other) in enumerate(zip(g.keys, g.n, g.held, strict=True)):
                     at = _parts(keys, bits)
                     said = n << 1 | other
-                    out += [(p, kind, b.column(0)[i].as_py(), _pack(_steps(keys[at[p] : at[p + 1]], bits), KEY_BYTES), _pack(said[at[p] : at[p + 1]], 5)) for p in np.flatnonzero(at[1:] > at[:-1]).tolist()]
+                    out += [(p, kind, b.column(0)[i].as_py(), _pack(_steps(keys[at[p] : at[p + 1]], bits), KEY_BYTES), pa.compress(_pack(said[at[p] : at[p + 1]], 5), "zstd", asbytes=True)) for p in np.flatnonzero(at[1:] > at[:-1]).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "kind", "chunk", "keys", "n"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, part = int(pdf["kind"].iloc[0]), int(pdf["part"].iloc[0])
         pdf = pdf.sort_values("chunk").reset_index(drop=True)
         keys = [np.cumsum(_unpack(k, KEY_BYTES)) for k in pdf["keys"]]
-        n = np.concatenate([_unpack(x, 5) for x in pdf["n"]]).astype(np.int64)
+        n = np.concatenate([_unpack(pa.decompress(x, 5 * len(k), "zstd", asbytes=True), 5) for x, k in zip(pdf["n"], keys, strict=True)]).astype(np.int64)
         n, other = n >> 1, (n & 1) == 1
         ends = np.cumsum([len(k) for k in keys])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        _, _, inverse = _distinct(np.concatenate(keys))
         total = np.zeros(int(inverse.max()) + 1, dtype=np.int64)
         np.add.at(total, inverse, n)
         held = np.zeros(len(total), dtype=bool)
@@ -213,47 +233,54 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int
         stats = [float(total.sum()) if kind == 0 else 0.0, float((total > 0).sum()) if kind == 0 else 0.0, *stats.ravel().tolist()]
         return pd.DataFrame({"chunk": [*pdf["chunk"], -1], "part": part, "kind": kind, "said": [*blobs, None], "stats": [*[None] * len(blobs), stats]})
 
-    asked = chunks.select("chunk", "text", "train").mapInArrow(ask, "part int, kind int, chunk long, keys binary, n binary")
-    answers = stage(asked.groupBy("part", "kind").applyInPandas(answer, "chunk long, part int, kind int, said binary, stats array<double>"), "answers")
+    asked = chunks.select("chunk", "docs").mapInArrow(ask, "part int, kind int, chunk long, keys binary, n binary")
+    path, schema = f"{scratch_root(spark)}/answers-{uuid.uuid4().hex}", "chunk long, part int, kind int, said binary, stats array<double>"
+    asked.groupBy("part", "kind").applyInPandas(answer, schema).write.option("compression", "zstd").parquet(path)
+    answers = spark.read.schema(schema).parquet(path)
     sums = answers.where("stats IS NOT NULL").select(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(2 + order * (KATZ_K + 1))]).first()
     model = KatzModel(np.array([x or 0.0 for x in sums]))
 
     def score(texts: pa.Table, said: pa.Table) -> pa.Table:
-        row = texts.combine_chunks().to_batches()[0]  # a chunk is one row
-        ids, whole, learnt = (row.column(row.schema.get_field_index(c)).flatten() for c in ("doc_id", "text", "train"))
-        g = Grams(*text_buffers(whole), learnt.to_numpy(zero_copy_only=False), order)
+        ids, g = _rows(texts.column("docs")[0], order)  # a chunk is one row
         said = said.sort_by([("kind", "ascending"), ("part", "ascending")])
         kind = said.column("kind").to_numpy()
         got = [np.concatenate([_unpack(b.as_py(), 6) for b, k in zip(said.column("said"), kind, strict=True) if k == want] or [np.empty(0, dtype=_U)]).astype(np.int64) for want in range(order)]
         count = [x >> 2 for x in got]
         n = g.n_docs
-        rid = (int(row.column(row.schema.get_field_index("chunk"))[0].as_py()) << 20) + np.arange(n) if n else np.empty(0, dtype=np.int64)
+        rid = (texts.column("chunk")[0].as_py() << 20) + np.arange(n)
         p = model.word(count[0])  # of distinct n-grams, as if no weight were due
         value = np.log10(p)[g.index[0]]  # of tokens
         sums, waits = [], []
         for k in range(1, order):
             around, seen = count[k - 1][g.context[k]], count[k] > 0
-            below, p = p[g.lower[k]], np.where(seen, _discounted(count[k], model.d[k]) / np.maximum(around, 1), p[g.lower[k]])
+            p = np.where(seen, _discounted(count[k], model.d[k]) / np.maximum(around, 1), p[g.lower[k]])
             own = np.flatnonzero(((got[k] & 1) == 1) & ((got[k - 1][g.context[k]] & 2) == 2))
             h, back = np.unique(g.hash[k][own].view(np.int64), return_inverse=True)
-            num = np.bincount(back, weights=model.left(count[k][own], k) / around[own], minlength=len(h))
-            sums.append((h, num, np.bincount(back, weights=below[own], minlength=len(h))))
+            spare = np.bincount(back, weights=count[k][own] - _discounted(count[k][own], model.d[k]), minlength=len(h))
+            sums.append((h, spare, np.bincount(back, weights=_discounted(count[k - 1][g.lower[k][own]], model.d[k - 1]), minlength=len(h))))
             tokens = np.flatnonzero(g.index[k] >= 0)
             j = g.index[k][tokens]
             value[tokens] = np.log10(p)[j]
             waits = [x[~np.append(seen, False)[g.index[k][x]]] for x in waits]  # a longer n-gram that was seen stands alone
             waits.append(tokens[(~seen & (around > 0))[j]])
-        due = [np.stack([g.doc[x], g.hash[k][g.index[k][x]].view(np.int64)]) for k, x in enumerate(waits, 1)]
-        slot, times = np.unique(np.concatenate([np.zeros((2, 0), dtype=np.int64), *due], axis=1), axis=1, return_counts=True) if sum(map(len, waits)) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-        h, num, den = (np.concatenate([np.empty(0, dtype=t), *(x[i] for x in sums)]) for i, t in enumerate((np.int64, float, float)))
+        due = [np.zeros((4, 0), dtype=np.int64)]  # document, context, its count, the count of the context without its first token
+        for k, x in enumerate(waits, 1):
+            j = g.index[k][x]
+            less = count[k - 2][g.context[k - 1][g.lower[k][j]]] if k > 1 else np.full(len(x), int(model.n))
+            due.append(np.stack([g.doc[x], g.hash[k][j].view(np.int64), count[k - 1][g.context[k][j]], less]))
+        due = np.concatenate(due, axis=1)
+        due = due[:, np.lexsort((due[1], due[0]))]
+        new = np.flatnonzero(np.append(True, (due[:2, 1:] != due[:2, :-1]).any(axis=0))[: due.shape[1]])
+        due, times = due[:, new], np.diff(np.append(new, due.shape[1]))
+        h, spare, below = (np.concatenate([np.empty(0, dtype=t), *(x[i] for x in sums)]) for i, t in enumerate((np.int64, float, float)))
         sum_by = lambda x: np.bincount(g.doc, weights=x, minlength=n)
         c = count[0][g.index[0]]
         tables = [
             {"kind": np.zeros(n, dtype=np.int32), "rid": rid, "doc_id": ids, "n_tokens": sum_by(np.ones(len(g.doc))).astype(np.int64), "n_known": sum_by(c > 0).astype(np.int64), "base_score": sum_by(model.base(c)), "score": sum_by(value)},
-            {"kind": np.ones(len(h), dtype=np.int32), "h": h, "num": num, "den": den},
-            {"kind": np.full(len(times), 2, dtype=np.int32), "rid": rid[slot[0]], "h": slot[1], "num": times.astype(float)},
+            {"kind": np.ones(len(h), dtype=np.int32), "h": h, "a": spare, "b": below},
+            {"kind": np.full(len(times), 2, dtype=np.int32), "rid": rid[due[0]], "h": due[1], "times": times, "a": due[2].astype(float), "b": due[3].astype(float)},
         ]
-        types = {"kind": pa.int32(), "rid": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "h": pa.int64(), "num": pa.float64(), "den": pa.float64()}
+        types = {"kind": pa.int32(), "rid": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "h": pa.int64(), "times": pa.int64(), "a": pa.float64(), "b": pa.float64()}
         made = []
         for t in tables:
             m = len(t["kind"])
@@ -261,13 +288,15 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int
         return pa.concat_tables(made)
 
     told = answers.where("said IS NOT NULL").select("chunk", "part", "kind", "said")
-    scored = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, DOC_SCHEMA)
+    scored = chunks.select("chunk", "docs").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, DOC_SCHEMA)
     path = f"{scratch_root(spark)}/scored-{uuid.uuid4().hex}"
-    scored.write.partitionBy("kind").parquet(path)
+    scored.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     scored = spark.read.schema(DOC_SCHEMA).parquet(path)
-    alpha = scored.where("kind = 1").groupBy("h").agg((F.sum("num") / (1 - F.sum("den"))).alias("alpha"))
-    waiting = scored.where("kind = 2").select("rid", "h", F.col("num").alias("times"))
-    more = waiting.join(alpha, "h").groupBy(F.col("rid").alias("r")).agg(F.sum(F.col("times") * F.log10("alpha")).alias("more"))
+    # alpha = (what discounts of the seen leave, over the context's count) / (1 - the seen ones' share in the shorter context)
+    weights = scored.where("kind = 1").groupBy("h").agg(F.sum("a").alias("spare"), F.sum("b").alias("below"))
+    waiting = scored.where("kind = 2").select("rid", "h", "times", F.col("a").alias("n"), F.col("b").alias("less"))
+    alpha = (F.col("spare") / F.col("n")) / (1 - F.col("below") / F.col("less"))
+    more = waiting.join(weights, "h").groupBy(F.col("rid").alias("r")).agg(F.sum(F.col("times") * F.log10(alpha)).alias("more"))
     rows = scored.where("kind = 0")
     return rows.join(more, rows["rid"] == more["r"], "left").select(
         "doc_id",
