@@ -1,6 +1,6 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts, exactly normalised backoff weights, any order.
 
-Texts are staged in chunks of about four megabytes, a row each, so that no file split cuts one. A chunk asks for its distinct
+Texts are staged in chunks of about three megabytes, a row each, so that no file split cuts one. A chunk asks for its distinct
 n-grams of each length, once each, as packed and sorted hashes; the tables of counts are partitioned by the leading bits of
 the hash, so a hot word is one key of each chunk like any other. A partition sums the training counts and answers every
 chunk in the order it asked, with whether texts not learned from hold the n-gram too. Chunks then score their documents,
@@ -33,7 +33,7 @@ KATZ_K = 5
 ORDER = 3
 TAIL = 0.5
 KEY_BYTES = 7
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 _U = np.uint64
 _END, _START = (_U(mix64(np.array([x]))[0]) for x in (101, 102))
 
@@ -52,8 +52,8 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Grams:
     """Distinct n-grams of a chunk by length (sorted 56-bit keys), how often they are learned, and where each token's are among them.
 
-    Lists go by length less one. keys, n (times learned), held (in a text not learned from); at: a token that ends
-    one; index: each token's, -1 where its text has too few tokens before it. For lengths from two on: context, the place
+    Lists go by length less one. keys, n (times learned), held (in a text not learned from); index: each token's, -1 where
+    its text has too few tokens before it. For lengths from two on: context, the place
     among the keys one shorter of all but the last token; lower, of all but the first; hash, the context's 64-bit hash.
     """
 
@@ -67,10 +67,11 @@ class Grams:
         is_word[first + counts] = False
         token[is_word] = w.hashes
         self.doc = np.repeat(np.arange(n, dtype=np.int32), counts + 1)
+        del w
         place = np.arange(len(token), dtype=np.int32) - first.astype(np.int32)[self.doc]
         on = train[self.doc]
         shift = _U(64 - 8 * KEY_BYTES)
-        self.keys, self.n, self.held, self.at, self.index, self.context, self.lower, self.hash = ([] for _ in range(8))
+        self.keys, self.n, self.held, self.index, self.context, self.lower, self.hash = ([] for _ in range(7))
         gram = token
         for k in range(order):
             rows = np.arange(len(token)) if k < 2 else np.flatnonzero(place >= k - 1)
@@ -92,8 +93,8 @@ class Grams:
                 context = np.where(place[at] == 0, min(int(end), max(len(keys_below) - 1, 0)), self.index[0][at - 1])
             else:
                 context = self.index[k - 1][at - 1] if k else None
-            lists = (self.keys, self.n, self.held, self.at, self.index, self.context, self.lower, self.hash)
-            for to, x in zip(lists, (keys, weight, held, at, index, context, self.index[k - 1][at] if k else None, history[at] if k else None), strict=True):
+            lists = (self.keys, self.n, self.held, self.index, self.context, self.lower, self.hash)
+            for to, x in zip(lists, (keys, weight, held, index, context, self.index[k - 1][at] if k else None, history[at] if k else None), strict=True):
                 to.append(x)
 
 
@@ -241,7 +242,9 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int
     model = KatzModel(np.array([x or 0.0 for x in sums]))
 
     def score(texts: pa.Table, said: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what the last chunk's answer took
         ids, g = _rows(texts.column("docs")[0], order)  # a chunk is one row
+        del g.keys, g.n, g.held
         said = said.sort_by([("kind", "ascending"), ("part", "ascending")])
         kind = said.column("kind").to_numpy()
         got = [np.concatenate([_unpack(b.as_py(), 6) for b, k in zip(said.column("said"), kind, strict=True) if k == want] or [np.empty(0, dtype=_U)]).astype(np.int64) for want in range(order)]
