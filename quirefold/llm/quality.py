@@ -29,13 +29,27 @@ GROUPS = 64
 
 def _classes() -> np.ndarray:
     """Per byte value: 0 letter, 1 capital, 2 digit, 3 mark, 4 gap, 5 high byte."""
-    out = np.full(256, 3)
+    out = np.full(256, 3, dtype=np.int8)
     out[97:123], out[65:91], out[48:58], out[128:] = 0, 1, 2, 5
     out[[32, 9, 10, 11, 12, 13]] = 4
     return out
 
 
 _CLASS = _classes()
+_BYTES = 1 << 18
+BATCH_BYTES = 1 << 20
+
+
+def _byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each document has each byte value; counted in blocks, so indexes are never as long as the data."""
+    out = np.zeros((len(offsets) - 1, 256), dtype=np.int64)
+    for lo in range(0, len(data), _BYTES):
+        hi = min(lo + _BYTES, len(data))
+        a, b = int(np.searchsorted(offsets, lo, side="right")) - 1, int(np.searchsorted(offsets, hi, side="left"))
+        inside = np.diff(np.clip(offsets[a : b + 1], lo, hi))
+        at = np.repeat(np.arange(b - a, dtype=np.int64) * 256, inside)
+        out[a:b] += np.bincount(at + data[lo:hi], minlength=256 * (b - a)).reshape(-1, 256)
+    return out
 
 
 def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -43,9 +57,8 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     w = Words(data, offsets, "space")
     size = np.diff(offsets)
-    doc_byte = np.repeat(np.arange(n), size)
-    kind = _CLASS[data]
-    per = np.bincount(doc_byte * 6 + kind, minlength=6 * n).reshape(n, 6) if n else np.zeros((0, 6))
+    byte_counts = _byte_counts(data, offsets)
+    per = byte_counts @ (_CLASS[:, None] == np.arange(6)).astype(np.int64)
     counts, doc = w.counts, w.doc_of()
     length = w.ends - w.starts
     share = lambda x, of: np.divide(x, of, out=np.zeros(n), where=of > 0)
@@ -69,9 +82,7 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     marked = (_CLASS[last] == 3) & (_CLASS[prev] == 3)
     upper = (_CLASS[first] == 1) & (_CLASS[prev] != 0) & (length > 1)
     bare = (length <= 2) & (_CLASS[first] == 3)
-    line = np.zeros(len(data), dtype=bool)
-    line[data == 10] = True
-    lines_at = np.unique(np.concatenate([offsets[:-1][size > 0], np.flatnonzero(line) + 1]))
+    lines_at = np.unique(np.concatenate([offsets[:-1][size > 0], np.flatnonzero(data == 10) + 1]))
     lines_at = lines_at[lines_at < len(data)]
     first_word = np.searchsorted(w.starts, lines_at)
     ok = first_word < np.append(first_word[1:], len(w.starts))
@@ -79,7 +90,7 @@ def document_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_doc = np.searchsorted(offsets, lines_at[ok], side="right") - 1
     lines = np.bincount(line_doc, minlength=n).astype(float)
     lines_many, _ = distinct(line_doc, line_hash)
-    bytes_used = np.count_nonzero(np.bincount(doc_byte * 256 + data, minlength=256 * n).reshape(n, 256), axis=1) if n else np.zeros(0)
+    bytes_used = np.count_nonzero(byte_counts, axis=1)
     total = size.astype(float)
     return np.stack(
         [
@@ -99,7 +110,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, FEATURES..., keep...) of whole texts; null reads as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches):
+        for b in by_size(batches, most=BATCH_BYTES):
             x = document_statistics(*text_buffers(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c) for c in x.T), *b.columns[2:]], ["doc_id", *FEATURES, *(f"_k{i}" for i in range(len(keep)))])
 
