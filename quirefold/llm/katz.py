@@ -34,6 +34,7 @@ ORDER = 3
 TAIL = 0.5
 KEY_BYTES = 7
 CHUNK_BYTES = 3 << 20
+RANGE_BYTES = 32 << 20
 _U = np.uint64
 _END, _START = (_U(mix64(np.array([x]))[0]) for x in (101, 102))
 
@@ -198,7 +199,7 @@ def katz_scores(docs: DataFrame, train_mod: tuple[int, int] = (7, 2), order: int
     docs.select("doc_id", "text", train.alias("train")).mapInArrow(cut, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
     size = chunks.agg(F.sum("size")).first()[0] or 0
-    bits = max(4, min(24, math.ceil(math.log2(max(1, size / (8 << 20))))))
+    bits = max(4, min(24, math.ceil(math.log2(max(1, size / RANGE_BYTES)))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
