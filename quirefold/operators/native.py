@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import clamp
+from ..functions.geometry import BOX, clamp, covered_share
+from ..functions.model_text import let
 from ..functions.text import text_key
-from .spatial import union_coverage
+from .spatial import known_page, union_coverage
 
 # Padding of native boxes, shares from which a region counts as covered, as a picture, as text already there.
 PADDING, COVERED, FIGURE_COVERED, TEXT_COVERED, FIGURE_CONFIDENCE = 0.005, 0.65, 0.85, 0.5, 0.5
 MOST_BLOCKS, MOST_IGNORED, MOST_IMAGES, MOST_CHARACTERS = 10_000, 100, 1_000, 100_000
-BOX = ("x1", "y1", "x2", "y2")
 
 
 def text_verdict(text: Column) -> Column:
@@ -57,97 +57,114 @@ def missing_regions(boxes: DataFrame, known: DataFrame, figures: DataFrame, page
     return union_coverage(boxes, regions, page, box_id).where(F.col("coverage") < least)
 
 
+def _tagged(page: list[str], **frames: DataFrame) -> DataFrame:
+    """Rows of several frames as one, those of each as a struct in the column named after it."""
+    kinds = {n: f.select(F.struct(*[c for c in f.columns if c not in page]).alias(n)).schema[n].dataType for n, f in frames.items()}
+    one = lambda n, f: f.select(*page, *[(F.struct(*[c for c in f.columns if c not in page]) if n == m else F.lit(None).cast(t)).alias(m) for m, t in kinds.items()])
+    return reduce(DataFrame.unionByName, [one(n, f) for n, f in frames.items()])
+
+
+def _nearest(item: Column, anchors: Column) -> Column:
+    """struct(d, o, y) of the nearest of array<struct<reading_order, x1, y1>> (L1 of the top left corners, the first in order on
+    ties), or null."""
+    apart = lambda a: F.struct((F.abs(item["x1"] - a["x1"]) + F.abs(item["y1"] - a["y1"])).alias("d"), a["reading_order"].alias("o"), a["y1"].alias("y"))
+    return F.array_min(F.transform(F.filter(anchors, lambda a: a["reading_order"].isNotNull()), apart))
+
+
+def recovered_on_pages(rows: DataFrame, page: list[str], share: float = TEXT_COVERED) -> DataFrame:
+    """A row per page with native and new, the arrays of its native blocks and of the lines that say something new (with as_image).
+
+    rows have the structs line, native and image, each null where a row is none; see recovered_text. If rows are dealt by any
+    columns of the page already, nothing is shuffled.
+    """
+    key = text_key(F.col("line.text"))
+    line = F.when((key != "") & known_page(page), F.struct("line.ordinal", key.alias("key"), "line"))
+    said = F.when(F.col("native").isNotNull(), text_key(F.col("native.text")))
+    box = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[f"{c}.{x}" for x in BOX]))
+    pages = rows.groupBy(*page).agg(*[F.collect_list(v).alias(n) for n, v in (("_lines", line), ("native", F.col("native")), ("_said", said), ("_blocks", box("native")), ("_images", box("image")))])
+    new = F.filter("_lines", lambda x: ~F.array_contains("_said", x["key"]) & (covered_share(x["line"], F.col("_blocks")) < share))
+    placed = F.array_sort(F.transform(new, lambda x: F.struct(x["key"], x["ordinal"], x["line"])))  # the first of each key stays
+    first = let(placed, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["key"] != x["key"])))
+    shown = F.transform(first, lambda x: F.struct(x["line"].alias("line"), (covered_share(x["line"], F.col("_images")) >= COVERED).alias("as_image")))
+    return pages.select(*page, "native", F.when(F.size("_lines") > 0, shown).otherwise(F.filter(shown, lambda x: F.lit(False))).alias("new"))
+
+
 def recovered_text(lines: DataFrame, native: DataFrame, images: DataFrame, page: list[str], share: float = TEXT_COVERED) -> DataFrame:
     """Lines read again that say something new: (page..., ordinal, text, x1 .. y2, confidence, as_image).
 
     lines, native: (page..., ordinal, text, x1 .. y2). A line goes if it is blank, if its text without blanks is a native block's
     or an earlier line's, or if native blocks cover `share` of it. as_image: an embedded picture covers it.
     """
-    keyed = lines.withColumn("_key", text_key(F.col("text"))).where("_key <> ''")
-    known = native.select(*page, text_key(F.col("text")).alias("_key")).distinct()
-    new = keyed.join(known, [*page, "_key"], "left_anti")
-    free = union_coverage(new.select(*page, "ordinal", *BOX), native.select(*page, *BOX), page, "ordinal").where(F.col("coverage") < share).select(*page, "ordinal")
-    new = new.join(free, [*page, "ordinal"], "left_semi")
-    first = F.row_number().over(Window.partitionBy(*page, "_key").orderBy("ordinal"))
-    new = new.withColumn("_n", first).where("_n = 1").drop("_n", "_key")
-    seen = union_coverage(new.select(*page, "ordinal", *BOX), images.select(*page, *BOX), page, "ordinal")
-    return new.join(seen, [*page, "ordinal"]).withColumn("as_image", F.col("coverage") >= COVERED).drop("coverage")
-
-
-def placed_among(items: DataFrame, anchors: DataFrame, page: list[str], strict: bool) -> DataFrame:
-    """items with anchor_order, side and _y of the nearest anchor (L1 of the top left corners, the first in order on ties).
-
-    side: 0 before its anchor, 2 after it. With strict an item as high as its anchor comes after it, else before. Items of a
-    page without anchors have a null anchor.
-    """
-    a = anchors.select(*page, F.col("reading_order").alias("_o"), F.col("x1").alias("_ax"), F.col("y1").alias("_ay"))
-    apart = F.abs(F.col("x1") - F.col("_ax")) + F.abs(F.col("y1") - F.col("_ay"))
-    near = F.min(F.when(F.col("_o").isNotNull(), F.struct(apart.alias("d"), F.col("_o").alias("o"), F.col("_ay").alias("y"))))
-    keys = [c for c in items.columns if c not in page]
-    got = items.join(a, page, "left").groupBy(*page, *keys).agg(near.alias("_near"))
-    before = F.col("y1") < F.col("_near.y") if strict else F.col("y1") <= F.col("_near.y")
-    return got.select(*page, *keys, F.col("_near.o").alias("anchor_order"), F.when(before, 0).otherwise(2).alias("side"))
+    rows = _tagged(page, line=lines, native=native.select(*page, "text", *BOX), image=images.select(*page, *BOX))
+    return recovered_lines(recovered_on_pages(rows, page, share), page)
+
+
+def recovered_lines(pages: DataFrame, page: list[str]) -> DataFrame:
+    """The new lines of recovered_on_pages(), a row each."""
+    return pages.select(*page, F.explode("new").alias("_l")).select(*page, "_l.line.*", "_l.as_image")
+
+
+def merged_on_pages(pages: DataFrame, page: list[str]) -> DataFrame:
+    """merged_order() of pages with the arrays native, array<struct<ordinal, reading_order, x1, y1>>, and new, array<struct<ordinal,
+    x1, y1>>. Lines of a page without blocks keep their order from the top."""
+    place = lambda order, side, y, own, ordinal: F.struct(order.cast("long").alias("a"), side.alias("side"), y.alias("y"), F.lit(own).alias("is_native"), ordinal.alias("ordinal"))
+    own = F.transform("native", lambda a: place(a["reading_order"], F.lit(1), F.lit(0.0), True, a["ordinal"]))
+    side = lambda r, n: F.when(n["o"].isNull() | (r["y1"] < n["y"]), 0).otherwise(2)
+    late = F.transform("new", lambda r: let(F.when(known_page(page), _nearest(r, F.col("native"))), lambda n: place(F.coalesce(n["o"], F.lit(0)), side(r, n), r["y1"], False, r["ordinal"])))
+    rows = pages.select(*page, F.posexplode(F.array_sort(F.concat(own, late))).alias("_i", "_r"))
+    return rows.select(*page, "_r.ordinal", "_r.is_native", (F.col("_i") + 1).alias("reading_order"))
 
 
 def merged_order(native: DataFrame, recovered: DataFrame, page: list[str]) -> DataFrame:
-    """(page..., ordinal, is_native, reading_order): recovered lines beside their nearest native block, numbered anew from 1."""
-    own = native.select(*page, "ordinal", F.lit(True).alias("is_native"), F.col("reading_order").cast("long").alias("anchor_order"), F.lit(1).alias("side"), F.lit(0.0).alias("_y"))
-    late = placed_among(recovered.select(*page, "ordinal", "x1", "y1"), native, page, strict=True)
-    late = late.select(*page, "ordinal", F.lit(False).alias("is_native"), F.coalesce("anchor_order", F.lit(0)).cast("long").alias("anchor_order"), F.when(F.col("anchor_order").isNull(), 0).otherwise(F.col("side")).alias("side"), F.col("y1").alias("_y"))
-    n = F.row_number().over(Window.partitionBy(*page).orderBy("anchor_order", "side", "_y", "is_native", "ordinal"))
-    return own.unionByName(late).withColumn("reading_order", n).select(*page, "ordinal", "is_native", "reading_order")
+    """(page..., ordinal, is_native, reading_order): recovered lines beside their nearest native block, numbered anew from 1.
+
+    A line above its block goes before it, others after it.
+    """
+    rows = _tagged(page, native=native.select(*page, "ordinal", "reading_order", "x1", "y1"), new=recovered.select(*page, "ordinal", "x1", "y1"))
+    return merged_on_pages(rows.groupBy(*page).agg(F.collect_list("native").alias("native"), F.collect_list("new").alias("new")), page)
 
 
 def layout_order(objects: DataFrame, page: list[str]) -> DataFrame:
     """objects with reading_order: on pages all of whose paragraphs are native, visual objects go beside their nearest
-    paragraph; on others all objects go from top and left."""
-    visual, text = objects.where("type <> 'paragraph'"), objects.where("type = 'paragraph'")
-    whole = text.groupBy(*page).agg(F.min("native").alias("_native"))
-    anchors = text.join(whole.where("_native"), page, "left_semi").withColumn("reading_order", F.col("ordinal"))
-    near = placed_among(visual.select(*page, "ordinal", "x1", "y1"), anchors, page, strict=False).select(*page, "ordinal", "anchor_order", "side")
-    rows = objects.join(whole, page, "left").join(near, [*page, "ordinal"], "left")
-    native = F.coalesce("_native", F.lit(False))
-    own = F.col("type") == "paragraph"
-    key = F.when(native, F.struct(F.when(own, F.col("ordinal")).otherwise(F.col("anchor_order")).cast("double").alias("a"), F.when(own, 1).otherwise(F.col("side")).cast("double").alias("b"), F.when(own, 0.0).otherwise(F.col("y1")).alias("c")))
-    plain = F.struct(F.col("y1").alias("a"), F.col("x1").alias("b"), F.col("y2").alias("c"))
-    order = Window.partitionBy(*page).orderBy(F.coalesce(key, plain), F.when(~native, F.struct("x2", "type")), "ordinal")
-    return rows.withColumn("reading_order", F.row_number().over(order)).drop("_native", "anchor_order", "side")
-
-
-def covered_share(box: np.ndarray, regions: np.ndarray) -> float:
-    """Share of a box that regions cover together: regions cut at all left and right edges, intervals merged in each slab."""
-    size = (box[2] - box[0]) * (box[3] - box[1])
-    if size <= 0 or not len(regions):
-        return 0.0
-    r = np.column_stack([np.maximum(regions[:, :2], box[:2]), np.minimum(regions[:, 2:], box[2:])])
-    r = r[(r[:, 2] > r[:, 0]) & (r[:, 3] > r[:, 1])]
-    edges, area = np.unique(r[:, [0, 2]]), 0.0
-    for left, right in zip(edges[:-1], edges[1:], strict=True):
-        rows = r[(r[:, 0] <= left) & (r[:, 2] >= right)]
-        rows = rows[np.argsort(rows[:, 1])]
-        tops = np.maximum(rows[:, 1], np.concatenate([[-np.inf], np.maximum.accumulate(rows[:, 3])[:-1]]))
-        area += (right - left) * np.maximum(0.0, rows[:, 3] - tops).sum()
-    return float(area / size)
+    paragraph, before it unless they are below its top; on others all objects go from top and left.
+
+    A page is one row on the way; if objects are dealt by any columns of the page already, nothing is shuffled.
+    """
+    kept = [c for c in objects.columns if c not in page]
+    text = F.col("type") == "paragraph"
+    anchor = F.when(text, F.struct(F.col("ordinal").alias("reading_order"), "x1", "y1"))
+    pages = objects.groupBy(*page).agg(F.collect_list(F.struct(*kept)).alias("_o"), F.collect_list(anchor).alias("_anchors"), F.min(F.when(text, F.col("native"))).alias("_native"))
+    native = F.coalesce(F.col("_native") & known_page(page), F.lit(False))
+    key = lambda a, b, c, x2, kind, o, i: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.alias("c"), x2.alias("x2"), kind.alias("kind"), o["ordinal"].alias("ordinal"), i.alias("i"))
+    beside = lambda o, n, i: key(n["o"], F.when(o["y1"] <= n["y"], 0).otherwise(2), o["y1"], F.lit(None).cast("double"), F.lit(None).cast("string"), o, i)
+    own = lambda o, i: key(o["ordinal"], F.lit(1), F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("string"), o, i)
+    plain = lambda o, i: key(o["y1"], o["x1"], o["y2"], o["x2"], o["type"], o, i)
+    keys = F.transform("_o", lambda o, i: F.when(~native, plain(o, i)).when(o["type"] == "paragraph", own(o, i)).otherwise(let(_nearest(o, F.col("_anchors")), lambda n: beside(o, n, i))))
+    rows = pages.select(*page, "_o", F.array_sort(keys).alias("_k"))
+    rows = rows.select(*page, F.posexplode(F.transform("_k", lambda k: F.get("_o", k["i"]))).alias("_n", "_r"))
+    return rows.select(*page, *[f"_r.{c}" for c in kept], (F.col("_n") + 1).alias("reading_order")).select(*objects.columns, "reading_order")
+
+
+def figures_on_pages(rows: DataFrame, page: list[str], share: float = FIGURE_COVERED) -> DataFrame:
+    """embedded_figures() of rows with the structs image and figure, each null where a row is none. A page is one row on the way; if
+    rows are dealt by any columns of the page already, nothing is shuffled."""
+    image = F.when(F.col("image").isNotNull(), F.struct("image.ordinal", *[f"image.{c}" for c in BOX]))
+    figure = F.when(F.col("figure").isNotNull(), F.struct(*[f"figure.{c}" for c in BOX]))
+    pages = rows.groupBy(*page).agg(F.array_sort(F.collect_list(image)).alias("_images"), F.collect_list(figure).alias("_known"))
+
+    def step(a: Column, x: Column) -> Column:
+        more = F.struct(F.concat(a["known"], F.array(F.struct(*[x[c].alias(c) for c in BOX]))).alias("known"), F.concat(a["taken"], F.array(x)).alias("taken"))
+        return F.when(covered_share(x, a["known"]) < share, more).otherwise(a)
+
+    zero = F.struct(F.col("_known").alias("known"), F.filter("_images", lambda x: F.lit(False)).alias("taken"))
+    taken = F.aggregate("_images", zero, step, lambda a: a["taken"])
+    return pages.where(F.size("_images") > 0).select(*page, F.inline(taken))
 
 
 def embedded_figures(images: DataFrame, figures: DataFrame, page: list[str], share: float = FIGURE_COVERED) -> DataFrame:
     """Embedded pictures (page..., ordinal, x1 .. y2) that become figures: in order, each that known figures and those added
-    before it cover less than `share` of. A page is a task's unit; its pictures are few (MOST_IMAGES)."""
-    kept = [*page, "ordinal", *BOX]
-
-    def add(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ordinal")
-        boxes, old = np.column_stack([t.column(c).to_numpy() for c in BOX]), t.column("known").to_numpy()
-        known, take = boxes[old], np.zeros(len(old), dtype=bool)
-        for i in np.flatnonzero(~old):
-            take[i] = covered_share(boxes[i], known) < share
-            if take[i]:
-                known = np.vstack([known, boxes[i]])
-        return t.filter(pa.array(take))
-
-    old = figures.select(*page, F.lit(None).cast(images.schema["ordinal"].dataType).alias("ordinal"), *BOX, F.lit(True).alias("known"))
-    rows = images.select(*kept, F.lit(False).alias("known")).unionByName(old)
-    return rows.groupBy(*page).applyInArrow(add, rows.schema).drop("known")
+    before it cover less than `share` of. A page is a row's unit; its pictures are few (MOST_IMAGES)."""
+    return figures_on_pages(_tagged(page, image=images.select(*page, "ordinal", *BOX), figure=figures.select(*page, *BOX)), page, share)
 
 
 def crop_around(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> list[Column]:

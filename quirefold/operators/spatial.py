@@ -5,30 +5,32 @@ All joins are equi-joins on the page first, so a task holds pages, never the cor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlap
+from ..functions.geometry import BOX, covered_share, overlap
+
+
+def known_page(page: list[str]) -> Column:
+    """False where a column of the page is null: boxes without a page share none."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in page])
+
+
+def coverage_on_pages(objects: DataFrame, page: list[str], box: Column, region: Column) -> DataFrame:
+    """Objects for which box holds, with coverage: the share of each that the objects of its page for which region holds cover
+    together. All come as one frame; if that is dealt by any columns of the page already, nothing is shuffled."""
+    regions = F.collect_list(F.when(region & known_page(page), F.struct(*BOX))).over(Window.partitionBy(*page))
+    rows = objects.where(box | region).withColumn("_regions", regions).where(box)
+    return rows.withColumn("coverage", covered_share(F.struct(*BOX), F.col("_regions"))).drop("_regions")
 
 
 def union_coverage(boxes: DataFrame, regions: DataFrame, page: list[str], box_id: str) -> DataFrame:
-    """(page..., box_id, coverage): the share of each box covered by at least one region of its page; 0 for empty boxes.
-
-    Regions are clipped to the box and cut at all left and right edges into slabs; in a slab, intervals that overlap count once.
-    """
-    key = [*page, box_id]
-    r = regions.select(*page, *[F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")])
-    clip = boxes.join(r, page).select(
-        *key, F.greatest("x1", "rx1").alias("a1"), F.greatest("y1", "ry1").alias("b1"), F.least("x2", "rx2").alias("a2"), F.least("y2", "ry2").alias("b2")
-    ).where("a2 > a1 AND b2 > b1")
-    edges = clip.select(*key, F.explode(F.array("a1", "a2")).alias("s1")).distinct()
-    slabs = edges.withColumn("s2", F.lead("s1").over(Window.partitionBy(*key).orderBy("s1"))).where("s2 IS NOT NULL")
-    parts = slabs.join(clip, key).where("a1 <= s1 AND a2 >= s2")
-    above = Window.partitionBy(*key, "s1").orderBy("b1", "b2").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0.0), F.col("b2") - F.greatest(F.col("b1"), F.coalesce(F.max("b2").over(above), F.col("b1"))))
-    area = parts.withColumn("piece", (F.col("s2") - F.col("s1")) * fresh).groupBy(*key).agg(F.sum("piece").alias("covered"))
-    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return boxes.join(area, key, "left").select(*key, F.when(size > 0, F.coalesce("covered", F.lit(0.0)) / size).otherwise(F.lit(0.0)).alias("coverage"))
+    """(page..., box_id, coverage): the share of each box covered by at least one region of its page; 0 for empty boxes."""
+    r = regions.select(*page, F.lit(None).cast(boxes.schema[box_id].dataType).alias(box_id), *BOX, F.lit(False).alias("_box"))
+    rows = boxes.select(*page, box_id, *BOX, F.lit(True).alias("_box")).unionByName(r)
+    return coverage_on_pages(rows, page, F.col("_box"), ~F.col("_box")).select(*page, box_id, "coverage")
 
 
 def uncovered(boxes: DataFrame, regions: DataFrame, page: list[str], box_id: str, least: float = 0.65) -> DataFrame:

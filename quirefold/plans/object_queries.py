@@ -109,8 +109,10 @@ def native_layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def embedded_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential, so without SQL; tests hold it against a count of pixels."""
-    o = objects(spark, sf_dir)
-    return native.embedded_figures(o.where("type IN ('table', 'stamp', 'signature')"), o.where("type = 'figure'"), PAGE)
+    item, kind = F.struct("ordinal", *native.BOX), F.col("type")
+    image, figure = F.when(kind.isin("table", "stamp", "signature"), item), F.when(kind == "figure", item)
+    rows = objects(spark, sf_dir).select(*PAGE, image.alias("image"), figure.alias("figure"))
+    return native.figures_on_pages(rows.where("image IS NOT NULL OR figure IS NOT NULL"), PAGE)
 
 
 @query(_with(o=OBJECTS) + "SELECT doc_id, ordinal, greatest(0, least(600, trunc(x1)::int - 8)) AS cx1, greatest(0, least(800, trunc(y1)::int - 8)) AS cy1, least(600, trunc(x2)::int + 9) AS cx2, least(800, trunc(y2)::int + 9) AS cy2 FROM o")

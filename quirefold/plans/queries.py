@@ -118,8 +118,8 @@ def _boxes_regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 @query(_where(o=OBJECTS, boxes=_BOXES)[:-1] + ", " + _COVER + "SELECT * FROM cov")
 def union_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes, regions = _boxes_regions(spark, sf_dir)
-    return spatial.union_coverage(boxes, regions, ["doc_id", "page"], "ordinal").withColumn("coverage", F.round("coverage", 6))
+    o = spatial.coverage_on_pages(objects(spark, sf_dir), ["doc_id", "page"], F.col("type") == "paragraph", F.col("type").isin("table", "figure"))
+    return o.select("doc_id", "page", "ordinal", F.round("coverage", 6).alias("coverage"))
 
 
 @query(_where(o=OBJECTS, boxes=_BOXES)[:-1] + ", " + _COVER + "SELECT doc_id, page, ordinal FROM cov WHERE coverage < 0.65")
