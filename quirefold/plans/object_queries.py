@@ -69,15 +69,17 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects(spark, sf_dir).withColumn("text", F.replace(said, F.lit("signature"), F.lit("stamp")))
 
 
-def _recovered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = _spoken(spark, sf_dir).select(*PAGE, "ordinal", "type", "text", "confidence", "x1", "y1", "x2", "y2")
-    own, late = o.where("type = 'paragraph'").drop("type"), o.where("type IN ('stamp', 'signature')").drop("type")
-    return own, native.recovered_text(late, own, o.where("type = 'table'"), PAGE)
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their native blocks and new lines, from one scan of the objects."""
+    o, item = _spoken(spark, sf_dir), F.struct("ordinal", F.col("ordinal").alias("reading_order"), "text", *native.BOX)
+    kind = lambda *types: F.when(F.col("type").isin(*types), item)
+    rows = o.select(*PAGE, kind("stamp", "signature").alias("line"), kind("paragraph").alias("native"), kind("table").alias("image"))
+    return native.recovered_on_pages(rows.where("line IS NOT NULL OR native IS NOT NULL OR image IS NOT NULL"), PAGE)
 
 
 @query(_with(o=OBJECTS, s=_SPOKEN).strip() + ", " + _FRESH + " SELECT doc_id, page, ordinal, text, coverage >= 0.65 AS as_image FROM n3 JOIN cov_b USING (doc_id, page, ordinal)")
 def recovered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recovered(spark, sf_dir)[1].select(*PAGE, "ordinal", "text", "as_image")
+    return native.recovered_lines(_recovered(spark, sf_dir), PAGE).select(*PAGE, "ordinal", "text", "as_image")
 
 
 @query(
@@ -90,8 +92,8 @@ al AS (SELECT doc_id, page, ordinal, true AS is_native, ordinal AS a, 1 AS sd, 0
 SELECT doc_id, page, ordinal, is_native, row_number() OVER (PARTITION BY doc_id, page ORDER BY a, sd, y, is_native, ordinal)::int AS reading_order FROM al"""
 )
 def native_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, late = _recovered(spark, sf_dir)
-    return native.merged_order(own.withColumn("reading_order", F.col("ordinal")), late, PAGE)
+    pages = _recovered(spark, sf_dir)
+    return native.merged_on_pages(pages.withColumn("new", F.transform("new", lambda x: x["line"])), PAGE)
 
 
 @query(

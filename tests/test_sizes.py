@@ -14,7 +14,7 @@ def plan_of(df):
 
 
 # ---------------------------------------------------------------- objects on pages
-@pytest.mark.parametrize("name", ["embedded_figures"])
+@pytest.mark.parametrize("name", ["embedded_figures", "native_merge", "recovered_text"])
 def test_pages_are_shuffled_once(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert plan.count("Exchange") == 1 and "InArrow" not in plan and "InPandas" not in plan
@@ -38,3 +38,16 @@ def test_covered_share_counts_pixels(spark):
     assert df.limit(1).select(geometry.covered_share(F.col("b"), F.lit(None).cast(f"array<{box}>"))).first()[0] == 0
 
 
+
+BOXED = "doc_id int, page int, ordinal int, text string, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_rows_without_a_page_share_nothing(spark):
+    rows = lambda *r: spark.createDataFrame([(d, 1, n, t, x, 0.0, x + 10, 10.0) for d, n, t, x in r], BOXED)
+    own = rows((1, 1, "a", 0.0), (None, 2, "b", 0.0), (None, 3, "c", 50.0))
+    late = rows((1, 4, "a", 90.0), (1, 5, "d", 90.0), (None, 6, "e", 90.0))
+    assert [r["ordinal"] for r in native.recovered_text(late, own, own, ["doc_id", "page"]).collect()] == [5]
+    got = native.merged_order(own.withColumn("reading_order", F.col("ordinal")), late, ["doc_id", "page"]).collect()
+    assert sorted((r["doc_id"] or 0, r["reading_order"], r["ordinal"]) for r in got) == [(0, 1, 6), (0, 2, 2), (0, 3, 3), (1, 1, 1), (1, 2, 4), (1, 3, 5)]
+
+
