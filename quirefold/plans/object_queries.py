@@ -104,7 +104,7 @@ k AS (SELECT o.*, w.doc_id IS NOT NULL AS nat, ao, sd FROM o LEFT JOIN w USING (
 SELECT doc_id, page, ordinal, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN nat THEN CASE WHEN type = 'paragraph' THEN ordinal ELSE ao END ELSE y1 END, CASE WHEN nat THEN CASE WHEN type = 'paragraph' THEN 1 ELSE sd END ELSE x1 END, CASE WHEN nat THEN CASE WHEN type = 'paragraph' THEN 0 ELSE y1 END ELSE y2 END, CASE WHEN nat THEN 0 ELSE x2 END, CASE WHEN nat THEN '' ELSE type END, ordinal)::int AS reading_order FROM k"""
 )
 def native_layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = objects(spark, sf_dir).withColumn("native", F.col("doc_id") % 3 != 0)
+    o = objects(spark, sf_dir).withColumn("native", F.col("doc_id") % 3 != 0).drop("confidence")
     return native.layout_order(o, PAGE).select(*PAGE, "ordinal", "reading_order")
 
 

@@ -14,7 +14,7 @@ def plan_of(df):
 
 
 # ---------------------------------------------------------------- objects on pages
-@pytest.mark.parametrize("name", ["embedded_figures", "native_merge", "recovered_text"])
+@pytest.mark.parametrize("name", ["embedded_figures", "native_merge", "recovered_text", "native_layout_order"])
 def test_pages_are_shuffled_once(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert plan.count("Exchange") == 1 and "InArrow" not in plan and "InPandas" not in plan
@@ -51,3 +51,9 @@ def test_rows_without_a_page_share_nothing(spark):
     assert sorted((r["doc_id"] or 0, r["reading_order"], r["ordinal"]) for r in got) == [(0, 1, 6), (0, 2, 2), (0, 3, 3), (1, 1, 1), (1, 2, 4), (1, 3, 5)]
 
 
+def test_layout_order_keeps_columns_and_pages_without_text(spark):
+    rows = [(1, 1, 1, "paragraph", True, 0.0, 50.0, "p"), (1, 1, 2, "table", None, 0.0, 50.0, "t"), (1, 1, 3, "figure", None, 0.0, 60.0, "f"), (1, 2, 1, "stamp", None, 9.0, 9.0, "s"), (1, 2, 2, "table", None, 8.0, 9.0, "u"), (2, 1, 1, "paragraph", False, 0.0, 5.0, "q"), (2, 1, 2, "stamp", None, 0.0, 1.0, "v")]
+    df = spark.createDataFrame(rows, "doc_id int, page int, ordinal int, type string, native boolean, x1 double, y1 double, tag string").selectExpr("*", "x1 + 5 AS x2", "y1 + 5 AS y2")
+    got = native.layout_order(df, ["doc_id", "page"])
+    assert got.columns == [*df.columns, "reading_order"]
+    assert [r["tag"] for r in got.orderBy("doc_id", "page", "reading_order").collect()] == ["t", "p", "f", "u", "s", "v", "q"]
