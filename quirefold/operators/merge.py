@@ -72,7 +72,8 @@ def joined_text(rows: DataFrame, keys: list[str], order: str, text: str, sep: st
 
 
 def text_digests(rows: DataFrame, key: str, order: str, text: str, sep: str) -> DataFrame:
-    """md5 of what joined_text makes of each key. Texts stream through in order, so that no group is held as a whole."""
+    """md5 of what joined_text makes of each key. Texts stream through in order, so that no group is held as a whole; rows without an
+    order come last, as in SQL, and rows of equal order, which SQL leaves open, go by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, now, md5, empty = None, None, None, True
@@ -90,7 +91,7 @@ def text_digests(rows: DataFrame, key: str, order: str, text: str, sep: str) ->
         if md5 is not None:
             yield done()
 
-    placed = rows.repartition(key).sortWithinPartitions(key, order, text).select(key, F.col(text).cast("binary").alias("t"))
+    placed = rows.repartition(key).sortWithinPartitions(key, F.col(order).asc_nulls_last(), text).select(key, F.col(text).cast("binary").alias("t"))
     return placed.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, digest string")
 
 

@@ -1,12 +1,13 @@
 """What lets queries grow with their input: shuffles a plan has, batches that Python holds, results where tables have odd rows."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import geometry
 from quirefold.operators import native
-from quirefold.plans.catalog import QUERIES
+from quirefold.plans.catalog import ORACLES, QUERIES
 
 
 def plan_of(df):
@@ -57,3 +58,13 @@ def test_layout_order_keeps_columns_and_pages_without_text(spark):
     got = native.layout_order(df, ["doc_id", "page"])
     assert got.columns == [*df.columns, "reading_order"]
     assert [r["tag"] for r in got.orderBy("doc_id", "page", "reading_order").collect()] == ["t", "p", "f", "u", "s", "v", "q"]
+
+
+# ---------------------------------------------------------------- texts
+def test_digests_take_rows_without_an_id_last(spark, tmp_path):
+    rows = [(1, "a", "x"), (3, None, "x"), (4, "b", "x"), (None, "last", "x"), (None, "only", "y"), (7, "n", None), (None, "m", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = {r["source"]: r["digest"] for r in QUERIES["document_text"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(ORACLES["document_text"]).fetchall())
