@@ -6,12 +6,10 @@ are coded as letters and the runs found by one pattern, so the cost is linear an
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ARABIC, BREAK_TAGS, ROLES, canonical_text, visual_score
+from .text import ARABIC, BREAK_TAGS, ROLES, canonical_text, let, visual_score
 from .text import PERSIAN as PERSIAN_LETTERS
 
 # Names of transport, grounding and sequence tokens; roles are in text.py.
@@ -58,11 +56,6 @@ EDGE = r"(?U)^\s+|\s+$"
 FAMILIES = (ANGLE_TOKEN, BARE_TOKEN, ROLE_TOKEN)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once, however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def token_count(line: Column) -> Column:
     """How many transport tokens of the three counted families stand in a line."""
     return sum((F.regexp_count(line, F.lit(p)) for p in FAMILIES), F.lit(0))

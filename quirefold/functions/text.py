@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,20 @@ GATE_TEXT, GATE_SPAN, GATE_REPEATS, GATE_SHARE = 960, 120, 8, 0.2
 LTR_TOKEN = r"[A-Za-z0-9]+(?:[._:/%+@-][A-Za-z0-9]+)*"
 
 
+#: What (?U)\\s matches; trimming these takes a fraction of what the pattern takes.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def trimmed(text: Column) -> Column:
+    """text without blanks of any kind at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 #: Characters that composition may change or join with others.
 COMPOSABLE = r"[\u0300-\x{10ffff}]"
 
@@ -61,10 +76,9 @@ def canonical_text(text: Column, compose: bool = False) -> Column:
         (rf"[ \t]+([{STOPS}])", "$1"),
         (rf"([{OPENERS}])[ \t]+", "$1"),
         (rf"[ \t]+([{CLOSERS}])", "$1"),
-        (r"(?U)^\s+|\s+$", ""),
     ):
         c = F.regexp_replace(c, pattern, by)
-    return c
+    return trimmed(c)
 
 
 def persian_text(text: Column, compose: bool = True) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import BOX, clamp, covered_share
-from ..functions.model_text import let
-from ..functions.text import text_key
+from ..functions.text import let, text_key
 from .spatial import known_page, union_coverage
 
 # Padding of native boxes, shares from which a region counts as covered, as a picture, as text already there.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import geometry
-from quirefold.operators import native
+from quirefold.operators import native, paragraphs
 from quirefold.plans.catalog import ORACLES, QUERIES
 
 
@@ -68,3 +68,25 @@ def test_digests_take_rows_without_an_id_last(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = {r["source"]: r["digest"] for r in QUERIES["document_text"](spark, str(tmp_path)).collect()}
     assert got == dict(con.execute(ORACLES["document_text"]).fetchall())
+
+
+def test_texts_are_read_once_and_shuffled_once(spark, sf_dir):
+    plan = plan_of(QUERIES["paragraph_objects"](spark, sf_dir))
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "InArrow" not in plan
+    for name in ("paragraph_objects",):
+        assert plan_of(QUERIES[name](spark, sf_dir)).count("rlike") <= 2 * 12 and "Join" not in plan_of(QUERIES[name](spark, sf_dir))
+
+
+def test_markers_behind_marks_and_blanks(spark):
+    rows = [("\u200f A) x", "A"), ("b\u200e- y", "B"), ("\u202bالف- z", "الف"), ("\u00a0\r\n c\u00a0d", "C"), ("\ufeffD\u200f\u2003: e", "D"), ("E\u200ff", None), ("\u200cب- g", None), ("Word", None), (None, None)]
+    df = spark.createDataFrame([(1, i * 5, t) for i, (t, _) in enumerate(rows)], "page int, line_no int, text string")
+    got = paragraphs.accepted_markers(df, "page", "line_no", "text").orderBy("line_no").collect()
+    assert [r["marker"] for r in got] == [m for _, m in rows]
+    assert [r["line_no"] for r in paragraphs.marked_lines(df, "page", "line_no", "text").collect()] == [i * 5 for i, (_, m) in enumerate(rows) if m]
+
+
+def test_confidence_of_paragraphs_without_any(spark):
+    rows = [(1, i, t, t, None, 0.0, 12.0 * i, 10.0, 12.0 * i + 10, c) for i, (t, c) in enumerate([("a", None), ("b", 0.5), ("c", 0.25)])]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, text string, raw_text string, reading_order int, x1 double, y1 double, x2 double, y2 double, confidence double")
+    got = paragraphs.paragraph_objects(df, ["doc_id"]).collect()
+    assert [(r["text"], r["line_count"], r["confidence"], r["line_confidences"]) for r in got] == [("a\nb\nc", 3, 0.25, [None, 0.5, 0.25])]
