@@ -140,7 +140,7 @@ acc AS (SELECT doc_id, line_no, kind, marker, strength, (strength = 'strong' OR
 
 @query(f"WITH q AS ({_LISTED}), {_MARKS} SELECT doc_id, line_no, kind, marker, strength, accepted FROM acc")
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return par.accepted_markers(_listed(spark, sf_dir), "doc_id", "line_no", "text").where("kind IS NOT NULL").select("doc_id", "line_no", "kind", "marker", "strength", "accepted")
+    return par.marked_lines(_listed(spark, sf_dir), "doc_id", "line_no", "text").select("doc_id", "line_no", "kind", "marker", "strength", "accepted")
 
 
 _STARTS = r"(?i)^(?:ماده|تبصره|فصل|بخش|بند|chapter|section|article|clause)(?:$|[-–—ـ.:؛،()0-9۰-۹٠-٩\s])|^\s*[\(\[]?[0-9۰-۹٠-٩]+(?:[\)\]]|[-–—ـ.:])\s*|^\s*(?:[•●▪◦◾■□*]|[-–—])\s+"

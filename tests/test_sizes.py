@@ -73,7 +73,7 @@ def test_digests_take_rows_without_an_id_last(spark, tmp_path):
 def test_texts_are_read_once_and_shuffled_once(spark, sf_dir):
     plan = plan_of(QUERIES["paragraph_objects"](spark, sf_dir))
     assert plan.count("Exchange") == 1 and "Join" not in plan and "InArrow" not in plan
-    for name in ("paragraph_objects",):
+    for name in ("paragraph_objects", "list_markers"):
         assert plan_of(QUERIES[name](spark, sf_dir)).count("rlike") <= 2 * 12 and "Join" not in plan_of(QUERIES[name](spark, sf_dir))
 
 
