@@ -6,10 +6,13 @@ are coded as letters and the runs found by one pattern, so the cost is linear an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ARABIC, BREAK_TAGS, ROLES, canonical_text, let, visual_score
+from .text import ARABIC, BREAK_TAGS, ROLES, canonical_text, let, trimmed, visual_words
 from .text import PERSIAN as PERSIAN_LETTERS
 
 # Names of transport, grounding and sequence tokens; roles are in text.py.
@@ -61,36 +64,66 @@ def token_count(line: Column) -> Column:
     return sum((F.regexp_count(line, F.lit(p)) for p in FAMILIES), F.lit(0))
 
 
+def dropped(text: Column, pattern: str, sign: Callable[[Column], Column], by: str = "") -> Column:
+    """regexp_replace where sign says that the pattern may match: a plain search costs a fraction of the pattern."""
+    return let(text, lambda x: F.when(sign(x), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+
+def has(*parts: str) -> Callable[[Column], Column]:
+    """Whether a text has all of these parts."""
+    return lambda x: reduce(lambda a, b: a & b, [x.contains(p) for p in parts])
+
+
+def begins(letters: str) -> Callable[[Column], Column]:
+    """Whether a text, blanks taken off, begins with one of these letters."""
+    return lambda x: F.substring(x, 1, 1).isin(*letters)
+
+
 def strip_tokens(line: Column) -> Column:
-    """One line without tokens and role; blank if only debris of a template is left."""
-    c = line
-    for p in (*FAMILIES, BROKEN_TOKEN, MODIFIER, ROLE_PREFIX, EDGE):
-        c = F.regexp_replace(c, p, "")
+    """One trimmed line without tokens and role; blank if only debris of a template is left."""
+
+    def without(x: Column) -> Column:
+        c = x
+        for p in (*FAMILIES, BROKEN_TOKEN):
+            c = F.regexp_replace(c, p, "")
+        return F.struct(c.alias("c"), token_count(x).alias("n"))
+
+    def tidy(x: Column) -> Column:
+        c = dropped(dropped(x["c"], MODIFIER, has("\\modifier{")), ROLE_PREFIX, has(":"))
+        return let(F.struct(trimmed(c).alias("c"), x["n"].alias("n")), judged)
 
     def judged(x: Column) -> Column:
         few = (x["n"] >= 2) & ~x["c"].rlike(PERSIAN) & (F.length(F.regexp_replace(x["c"], r"[^\p{L}\p{N}_]", "")) <= 8)
-        return F.when(x["c"].rlike(ROLE_ALONE) | x["c"].rlike(DEBRIS) | few, F.lit("")).otherwise(x["c"])
+        role = begins("".join(sorted({k for r in ROLES for k in (r[0], r[0].upper())})))(x["c"]) & x["c"].rlike(ROLE_ALONE)
+        return F.when(role | ((F.length(x["c"]) <= 33) & x["c"].rlike(DEBRIS)) | few, F.lit("")).otherwise(x["c"])
 
-    return let(F.struct(c.alias("c"), token_count(line).alias("n")), judged)
+    plain = F.struct(line.alias("c"), F.lit(0).alias("n"))
+    return let(F.when(line.contains("<") | line.contains("|"), without(line)).otherwise(plain), tidy)
 
 
 def _line(raw: Column) -> Column:
     def judged(line: Column) -> Column:
-        c = F.regexp_replace(F.regexp_replace(strip_tokens(line), ESCAPED_MARK, ""), EDGE, "")
-        return F.when(line.rlike(DROPPED_LINE), F.lit("")).otherwise(let(c, lambda x: F.when(x.rlike(EMPTY_LINE), F.lit("")).otherwise(x)))
+        c = trimmed(dropped(strip_tokens(line), ESCAPED_MARK, has("\\")))
+        noise = begins("fF[iI")(line) & line.rlike(DROPPED_LINE)
+        return F.when(noise, F.lit("")).otherwise(let(c, lambda x: F.when(begins("nN\\")(x) & x.rlike(EMPTY_LINE), F.lit("")).otherwise(x)))
+
+    return let(trimmed(raw), judged)
+
 
-    return let(F.regexp_replace(raw, EDGE, ""), judged)
+#: One of these stands in every text that CAPTION matches, in lower case.
+CAPTION_SIGNS = ("image", "photo", "picture", "caption", "drawing", "see")
 
 
 def caption_code(block: Column) -> Column:
     """S: a generated caption by itself; C: goes on from one; B: blank; N: none of these."""
     latin = block.rlike("[A-Za-z]") & ~block.rlike(PERSIAN)
 
-    def own(x: Column) -> Column:
-        return block.rlike(CAPTION) | ((x["words"] >= 8) & (x["score"] >= 4)) | (block.rlike(CAPTION_FIELD) & (x["score"] >= 3))
+    def own(low: Column) -> Column:
+        sign = reduce(lambda a, b: a | b, [low.contains(w) for w in CAPTION_SIGNS])
+        words = F.regexp_count(block, F.lit("[A-Za-z]+"))
+        return (sign & block.rlike(CAPTION)) | let(visual_words(low), lambda n: ((n >= 4) & (words >= 8)) | ((n >= 3) & block.rlike(CAPTION_FIELD)))
 
-    counts = F.struct(F.size(F.regexp_extract_all(block, F.lit("([A-Za-z]+)"), F.lit(1))).alias("words"), visual_score(block).alias("score"))
-    return F.when(~block.rlike(r"(?U)\S"), "B").when(latin & let(counts, own), "S").when(latin & block.rlike(CAPTION_MORE), "C").otherwise("N")
+    return F.when(~block.rlike(r"(?U)\S"), "B").when(latin & let(F.lower(block), own), "S").when(latin & block.rlike(CAPTION_MORE), "C").otherwise("N")
 
 
 def caption_mask(blocks: Column) -> Column:
@@ -102,18 +135,18 @@ def caption_mask(blocks: Column) -> Column:
 
 def prepared(text: Column) -> Column:
     """Line ends and full-width bars folded, embedded images and layout tags turned into line ends."""
-    c = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    c = F.regexp_replace(F.replace(c, F.lit("｜"), F.lit("|")), DATA_URI, "\n")
-    return F.regexp_replace(F.regexp_replace(c, BLOCK_TAG, "\n"), SPAN_TAG, "")
+    c = dropped(F.coalesce(text, F.lit("")), "\r\n?", has("\r"), "\n")
+    c = dropped(F.replace(c, F.lit("｜"), F.lit("|")), DATA_URI, has(":", "/", ";", ","), "\n")
+    return dropped(dropped(c, BLOCK_TAG, has("<"), "\n"), SPAN_TAG, has("<"))
 
 
 def strip_artifacts(text: Column) -> Column:
     """Text without what the model or its template put in; recognised words stay as they are."""
     joined = F.array_join(F.transform(F.split(prepared(text), LINE_END), _line), "\n")
-    blocks = F.transform(F.split(joined, r"\n\s*\n+"), lambda b: F.regexp_replace(b, EDGE, ""))
+    blocks = F.transform(F.split(joined, r"\n\s*\n+"), trimmed)
     kept = lambda bs, mask: F.array_join(F.filter(bs, lambda b, i: ~F.substr(mask, i + 1, F.lit(1)).isin("D", "B")), "\n\n")
     out = let(blocks, lambda bs: let(caption_mask(bs), lambda mask: kept(bs, mask)))
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), EDGE, "")
+    return trimmed(dropped(out, r"\n{3,}", has("\n\n\n"), "\n\n"))
 
 
 def canonical_model_text(text: Column, compose: bool = True) -> Column:

@@ -101,11 +101,26 @@ def strip_role(line: Column) -> Column:
     return F.regexp_replace(line, rf"(?i)^\s*(?:{'|'.join(ROLES)})\s*:\s*", "")
 
 
+def _one_of(words: tuple[str, ...] | list[str]) -> str:
+    """A pattern of these words that asks for each letter once."""
+    heads = sorted({w[0] for w in words if w})
+    rest = [_one_of([w[1:] for w in words if w[:1] == h]) for h in heads]
+    found = "|".join(h + r for h, r in zip(heads, rest, strict=True))
+    return "" if not found else f"(?:{found})" + ("?" if "" in words else "") if "" in words or len(heads) > 1 else found
+
+
+#: A word of VISUAL_WORDS that is a whole run of small letters.
+VISUAL_WORD = rf"(?<![a-z])(?=[{''.join(sorted({w[0] for w in VISUAL_WORDS}))}]){_one_of(VISUAL_WORDS)}(?![a-z])"
+
+
+def visual_words(low: Column) -> Column:
+    """visual_score() of a text in lower case."""
+    return F.regexp_count(low, F.lit(VISUAL_WORD))
+
+
 def visual_score(text: Column) -> Column:
     """How many Latin words belong to the vocabulary of picture captions."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
-    vocabulary = F.array(*[F.lit(w) for w in VISUAL_WORDS])
-    return F.size(F.filter(words, lambda w: F.array_contains(vocabulary, w)))
+    return visual_words(F.lower(text))
 
 
 def looks_like_caption(text: Column) -> Column:

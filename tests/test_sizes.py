@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.functions import geometry
+from quirefold.functions import geometry, model_text, text
 from quirefold.operators import native, paragraphs
 from quirefold.plans.catalog import ORACLES, QUERIES
 
@@ -90,3 +90,20 @@ def test_confidence_of_paragraphs_without_any(spark):
     df = spark.createDataFrame(rows, "doc_id int, line_no int, text string, raw_text string, reading_order int, x1 double, y1 double, x2 double, y2 double, confidence double")
     got = paragraphs.paragraph_objects(df, ["doc_id"]).collect()
     assert [(r["text"], r["line_count"], r["confidence"], r["line_confidences"]) for r in got] == [("a\nb\nc", 3, 0.25, [None, 0.5, 0.25])]
+
+
+def test_guards_miss_nothing(spark):
+    uri = "DATA:image/PNG;Base64,QUJD"
+    given = {"ASSISTANT : x": "x", "System": "", "用户:  y": "y", "\x85\u2003z\u3000": "z", f"a {uri}\nb": "a\n\nb", "NONE none": "", "\\7": "", "\\7 seven": "\\7 seven", "[ANSWER]": "", "IMAGE": "", "imagery": "imagery",
+             "<SPAN x>k</Span>": "k", "a\rb": "a\nb", "\\modifier{q}m": "m", "\\*_ n": "n", "YOU  CAN\tSEE it": "", "Fig: 3a the field trucks smoke": "", "a field of plenty": "a field of plenty", "u" * 40: "u" * 40, "-" * 33: "-" * 33, "-" * 32: ""}
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    got = {r["t"]: r["x"] for r in df.select("t", model_text.strip_artifacts(F.col("t")).alias("x")).collect()}
+    assert got == given
+
+
+def test_captions_count_whole_words(spark, sf_dir):
+    assert "array_contains" not in plan_of(QUERIES["clean_model_text"](spark, sf_dir))
+    said = " ".join(text.VISUAL_WORDS)
+    rows = [(said, len(text.VISUAL_WORDS)), ("Trucks,truck;truc trucksx xtruck", 2), ("pumps1pump éfield", 3), ("", 0)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    assert df.where(text.visual_score(F.col("t")) != F.col("n")).count() == 0
