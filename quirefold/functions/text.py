@@ -154,9 +154,13 @@ def most_repeats(text: str | None) -> int:
     return max(Counter(text[i : i + GATE_SPAN] for i in range(n)).values())
 
 
-@F.pandas_udf(T.LongType())
-def passage_repeats(s: pd.Series) -> pd.Series:
-    return s.map(most_repeats)
+#: Pickled, so a worker holds the texts of a hundred rows; an Arrow batch has ten thousand, however long they are.
+_repeats = F.udf(most_repeats, T.LongType(), useArrow=False)
+
+
+def passage_repeats(text: Column) -> Column:
+    """most_repeats() as a column; short texts don't leave the JVM."""
+    return _repeats(F.when(F.length(text) >= GATE_TEXT, text))
 
 
 def quality_verdict(text: Column, repeats: Column) -> Column:

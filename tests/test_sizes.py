@@ -107,3 +107,12 @@ def test_captions_count_whole_words(spark, sf_dir):
     rows = [(said, len(text.VISUAL_WORDS)), ("Trucks,truck;truc trucksx xtruck", 2), ("pumps1pump éfield", 3), ("", 0)]
     df = spark.createDataFrame(rows, "t string, n int")
     assert df.where(text.visual_score(F.col("t")) != F.col("n")).count() == 0
+
+
+def test_passages_are_counted_in_small_batches(spark, sf_dir, tmp_path):
+    plan = plan_of(QUERIES["quality_gate"](spark, sf_dir))
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    texts = ["short", None, "", "ab" * 480, "x" * 959, "漢" * 960]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["repeats"] for r in QUERIES["quality_gate"](spark, str(tmp_path)).collect()}
+    assert got == {i: text.most_repeats(t) for i, t in enumerate(texts)} and got[5] == 841
